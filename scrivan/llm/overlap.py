@@ -102,9 +102,9 @@ def _scan(edits: int, least: int):
 def _anchored(df: DataFrame, col: str) -> DataFrame:
     """Adds ``pairs``: hashes of the word pairs of a normalised text, of its word where it has one."""
     w = F.split(F.col(col), " ")
-    pairs = F.when(F.size(w) < 2, F.array(F.xxhash64(w[0], F.lit("")))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
-    )
+    last = F.size(w) - 1
+    both = F.arrays_zip(F.slice(w, F.lit(1), last).alias("x"), F.slice(w, F.lit(2), last).alias("y"))
+    pairs = F.when(last < 1, F.array(F.xxhash64(w[0], F.lit("")))).otherwise(F.transform(both, lambda x: F.xxhash64(x["x"], x["y"])))
     return df.withColumn("pairs", pairs)
 
 

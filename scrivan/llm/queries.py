@@ -7,19 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivan.llm import groups, leaks, overlap, packing
+from scrivan.llm import groups, leaks, lookalike, names, neardup, overlap, packing
 from scrivan.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Query] = {
+    "p2_found": lambda s, d: neardup.found(load(s, d, "document_records"), load(s, d, "ocr_results")),
+    "p2_groups": lambda s, d: neardup.groups(load(s, d, "document_records"), load(s, d, "ocr_results")),
     "p3_found": lambda s, d: groups.found(load(s, d, "synth_manifest").dropDuplicates(["row_id"])),
     "p3_split": lambda s, d: groups.grouped_split(load(s, d, "synth_manifest").dropDuplicates(["row_id"])),
+    "p4_found": lambda s, d: names.found(load(s, d, "document_metadata")),
+    "p4_students": lambda s, d: names.linked(load(s, d, "document_metadata")),
     "p5_found": lambda s, d: overlap.found(load(s, d, "synth_manifest")),
     "p5_report": lambda s, d: overlap.report(load(s, d, "synth_manifest")),
+    "p6_found": lambda s, d: lookalike.found(load(s, d, "ocr_results"), load(s, d, "ocr_comparison")),
+    "p6_texts": lambda s, d: lookalike.texts(load(s, d, "ocr_results"), load(s, d, "ocr_comparison")),
     "p8_containers": lambda s, d: packing.containers(load(s, d, "documents"), VOCABULARY),
     "p9_found": lambda s, d: leaks.found(load(s, d, "documents"), load(s, d, "eval_items")),
     "p9_cleaned": lambda s, d: leaks.cleaned(load(s, d, "documents"), load(s, d, "eval_items")),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p6_found": lookalike.found_sql()}
