@@ -1,18 +1,18 @@
-"""Near-duplicate records: exact set-similarity search through BK-trees over Hamming signatures.
+"""Near-duplicate records: BK-trees over Hamming signatures, in shards.
 
 A text is a set of hashed tokens (words or word shingles). Its signature has one bit for each hash value modulo its
 width, toggled by every token there, so two signatures differ in at most as many bits as the sets differ in elements.
 Sets of Jaccard similarity ``t`` and sizes n, m differ in at most (1-t)/(1+t) (n+m) elements: that is the radius, and a
 BK-tree search within it loses no pair. The pairs it yields are confirmed on the whole sets.
 
-Trees are per shard. A shard holds the sets that have one rare token in common among their n - ceil(t n) + 1 rarest; two
-sets that are similar enough always meet in one (prefix filtering), whatever the order of tokens as long as it is the
-same for all. The shard's task builds its tree and follows the edges within the radius; shipping every tree to every
-executor, as the words "broadcast shard trees" suggest, would send all fingerprints everywhere, so a tree stays where
-its shard is. Shards above ``SHARD`` sets are cut into trees of that size, each of which all sets of the shard query.
+Distances of unrelated texts crowd around one value, so a tree over everything would visit nearly all nodes. Trees are
+therefore per shard: a shard holds the sets with one band of MinHashes in common, and the number of bands follows from
+the collision curve for the wanted recall right at the threshold. The shard's task builds its tree and follows the edges
+within the radius; shipping every tree to every executor, as the words "broadcast shard trees" suggest, would send all
+fingerprints everywhere, so a tree stays where its shard is. Shards above ``SHARD`` sets are cut into trees of that
+size, each of which all sets of the shard query.
 
-Equal sets form a class before anything else; a class is searched once. Very frequent tokens (a sketch of bounded size
-names them) are kept out of the shuffle that counts tokens and rank last, which changes no result.
+Equal sets form a class before anything else; a class is searched once, so groups of copies cost one search.
 
 Cases: null texts, and texts without a token, belong to nobody; a repeated (id, text) counts once; one id with several
 texts counts for each; empty tables give empty results; other columns are ignored.
@@ -20,17 +20,20 @@ texts counts for each; empty tables give empty results; other columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivan.llm.groups import contract
 from scrivan.runtime import stage
 
-#: Sets in one tree; most tokens that the sketch may call very frequent.
-SHARD, HEAVY = 4000, 512
+#: Sets in one tree; how often two sets right at the similarity share a shard (more alike ones do so more often).
+SHARD, RECALL = 4000, 0.999
 
 
 def token_sets(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -90,37 +93,50 @@ class BKTree:
                 todo.extend(kid for edge, kid in kids.items() if first <= edge <= last)
 
 
-def class_pairs(sets: DataFrame, share: tuple[int, int], width: int) -> DataFrame:
+def bands_needed(share: float, rows: int, recall: float) -> int:
+    """The least b with 1 - (1 - share^rows)^b >= recall: two sets of that similarity meet in a band as often."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - share**rows))
+
+
+def _banded(width: int, bands: int, rows: int):
+    """(signature, band keys) of hashed sets: minima of ``bands * rows`` multiply-add hashes."""
+    rng = np.random.default_rng(20_240_601)
+    factor = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
+    term = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    weight = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
+
+    @F.pandas_udf(T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    def sketch(toks: pd.Series) -> pd.DataFrame:
+        sigs, keys = [], []
+        for ts in toks:
+            x = np.asarray(ts, dtype=np.int64).view(np.uint64)
+            odd, times = np.unique(x % np.uint64(width), return_counts=True)
+            bits = np.zeros(width, dtype=np.uint8)
+            bits[odd[times % 2 == 1].astype(np.int64)] = 1
+            sigs.append(np.packbits(bits, bitorder="little").tobytes())
+            low = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
+            for part in range(0, len(x), 4096):  # whole sets, a bounded table at a time
+                mixed = x[part : part + 4096, None] * factor + term
+                low = np.minimum(low, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+            key = (low.reshape(bands, rows) * weight).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)
+            keys.append((key ^ (key >> np.uint64(31))).view(np.int64))
+        return pd.DataFrame({"sig": sigs, "keys": keys})
+
+    return sketch
+
+
+def class_pairs(sets: DataFrame, share: tuple[int, int], width: int, rows: int, recall: float = RECALL) -> DataFrame:
     """(a, b): classes of staged ``token_sets`` whose sets have ``share`` = (p, q), p/q, of their union in common; a < b."""
     p, q = share
-    least = lambda n: F.ceil((n * p) / F.lit(q) - 1e-9)
     copies = sets.groupBy("sid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sid", "first")
     spare = stage(sets.select("id", "sid").join(copies, "sid").where("id <> first").select("id", "sid").distinct())
     one = sets.join(spare, ["id", "sid"], "left_anti")
-    n_sets = one.count()
-    often = max(2000, n_sets // 50)
-    heavy: list[int] = []
-    if n_sets > often:
-        top = one.select(F.explode("toks").alias("t")).select(F.expr(f"approx_top_k(t, {HEAVY}, {HEAVY * 16})").alias("k")).select(F.inline("k")).collect()
-        heavy = sorted(r[0] for r in top if r[1] > often)
-    rare = F.array_except("toks", F.lit(heavy).cast("array<bigint>")) if heavy else F.col("toks")
-    common = F.array_sort(F.array_intersect("toks", F.lit(heavy).cast("array<bigint>"))) if heavy else F.array().cast("array<bigint>")
-    tokens = one.select("sid", F.explode(rare).alias("t")).repartition("t")
-    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = tokens.join(shared.hint("shuffle_hash"), "t").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("light"))
-    # only a set with enough tokens in common with others can have a partner
-    full = one.select("sid", "n", "toks", common.alias("heavy")).join(mine, "sid", "left" if heavy else "inner")
-    light = F.coalesce(F.transform("light", lambda x: x["t"]), F.array().cast("array<bigint>"))
-    full = full.withColumn("known", F.concat(light, "heavy")).where(F.size("known") >= least(F.col("n")))
-    prefix = F.col("n") - least(F.col("n")) + 1 - (F.col("n") - F.size("known"))
-    full = full.withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    full = stage(full.select("sid", "n", "toks", F.slice("known", F.lit(1), F.col("prefix")).alias("keys")))
-    keyed = full.select("sid", "n", F.explode("keys").alias("key"))
+    full = stage(one.select("sid", "n", _banded(width, bands_needed(p / q, rows, recall), rows)("toks").alias("s")).select("sid", "n", "s.sig", "s.keys"))
+    keyed = full.select("sid", F.explode("keys").alias("key")).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / SHARD).cast("int").alias("trees"))
-    placed = keyed.join(sizes, "key").withColumn("home", F.pmod(F.xxhash64("sid"), F.col("trees")).cast("int"))
+    placed = keyed.join(sizes.hint("shuffle_hash"), "key").withColumn("home", F.pmod(F.xxhash64("sid"), F.col("trees")).cast("int"))
     placed = placed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("guest", F.col("tree") != F.col("home"))
-    signed = full.select("sid", _signed(width)("toks").alias("sig"))
-    ready = placed.select("key", "tree", "guest", "sid", "n").join(signed, "sid")
+    ready = placed.select("key", "tree", "guest", "sid").join(full.select("sid", "n", "sig"), "sid")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, tree = None, BKTree()
@@ -138,23 +154,15 @@ def class_pairs(sets: DataFrame, share: tuple[int, int], width: int) -> DataFram
             yield pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
 
     found = ready.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInPandas(search, "a bigint, b bigint").distinct()
-    left, right = full.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), full.select(F.col("sid").alias("b"), F.col("toks").alias("tb"))
+    left, right = one.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), one.select(F.col("sid").alias("b"), F.col("toks").alias("tb"))
     both = stage(found).join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
     return both.where(F.col("i") * q >= (F.size("ta") + F.size("tb") - F.col("i")) * p).select("a", "b")
 
 
-def _signed(width: int):
-    @F.pandas_udf("binary")
-    def sign(toks: pd.Series) -> pd.Series:
-        return toks.map(lambda ts: _signature([int(t) for t in ts], width).to_bytes(width // 8, "little"))
-
-    return sign
-
-
-def linked(rows: DataFrame, id_col: str, text_col: str, shingle: int, share: tuple[int, int], width: int) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, id_col: str, text_col: str, shingle: int, share: tuple[int, int], width: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
     """The members (id, sid) of each class, and the pairs (a, b) of similar classes; both staged."""
     sets = stage(token_sets(rows, id_col, text_col, shingle).dropDuplicates(["id", "sid"]))
-    return stage(sets.select("id", "sid")), stage(class_pairs(sets, share, width))
+    return stage(sets.select("id", "sid")), stage(class_pairs(sets, share, width, band_rows))
 
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -174,16 +182,16 @@ def classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def titles(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return linked(records, "id", "title", 1, (7, 10), 256)
+    return linked(records, "id", "title", 1, (7, 10), 256, 6)
 
 
 def pages(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return linked(results.where("is_latest"), "document_id", "raw_text", 3, (1, 2), 2048)
+    return linked(results.where("is_latest"), "document_id", "raw_text", 3, (1, 2), 2048, 4)
 
 
 def pages_strict(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The usual near-duplicate setting: shingles of five words, similarity 0.8."""
-    return linked(results.where("is_latest"), "document_id", "raw_text", 5, (4, 5), 2048)
+    return linked(results.where("is_latest"), "document_id", "raw_text", 5, (4, 5), 2048, 8)
 
 
 def _named(name: str) -> Column:

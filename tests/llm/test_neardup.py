@@ -46,17 +46,17 @@ def pairs_of(out):
 def test_equal_to_all_pairs(spark, monkeypatch):
     rows = texts()
     df = spark.createDataFrame([(*r, "x") for r in rows], "id string, t string, sid string")
-    assert pairs_of(neardup.linked(df, "id", "t", 1, (7, 10), 256)) == brute(rows, 1, 7, 10)
+    assert pairs_of(neardup.linked(df, "id", "t", 1, (7, 10), 256, 6)) == brute(rows, 1, 7, 10)
     want = brute(rows, 3, 1, 2)
-    assert want and pairs_of(neardup.linked(df, "id", "t", 3, (1, 2), 2048)) == want
+    assert want and pairs_of(neardup.linked(df, "id", "t", 3, (1, 2), 2048, 4)) == want
     monkeypatch.setattr(neardup, "SHARD", 5)  # hot shards in many trees
-    assert pairs_of(neardup.linked(df, "id", "t", 3, (1, 2), 2048)) == want
-    assert pairs_of(neardup.linked(df.limit(0), "id", "t", 3, (1, 2), 2048)) == set()
+    assert pairs_of(neardup.linked(df, "id", "t", 3, (1, 2), 2048, 4)) == want
+    assert pairs_of(neardup.linked(df.limit(0), "id", "t", 3, (1, 2), 2048, 4)) == set()
 
 
 def test_classes(spark):
     rows = [(f"c{k}", "a b c d e f") for k in range(50)] + [("x", "a b c d e f g"), ("y", "other words here now")]
-    got = {r.document_id: r for r in neardup.classes(*neardup.linked(spark.createDataFrame(rows, "id string, t string"), "id", "t", 1, (7, 10), 256)).collect()}
+    got = {r.document_id: r for r in neardup.classes(*neardup.linked(spark.createDataFrame(rows, "id string, t string"), "id", "t", 1, (7, 10), 256, 6)).collect()}
     assert len(got) == 52 and got["c0"].class_id == got["c49"].class_id != got["x"].class_id
     assert got["c0"].group_id == got["x"].group_id != got["y"].group_id
     assert (got["c0"].n_links, got["y"].n_links) == (1, 0)
