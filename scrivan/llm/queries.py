@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivan.llm import groups, leaks, lookalike, names, neardup, overlap, packing
+from scrivan.llm import groups, leaks, lookalike, names, neardup, overlap, packing, scan_noise
 from scrivan.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Query] = {
+    "p1_found": lambda s, d: scan_noise.found(load(s, d, "ocr_results")),
+    "p1_texts": lambda s, d: scan_noise.clean(load(s, d, "ocr_results")),
     "p2_found": lambda s, d: neardup.found(load(s, d, "document_records"), load(s, d, "ocr_results")),
     "p2_groups": lambda s, d: neardup.groups(load(s, d, "document_records"), load(s, d, "ocr_results")),
     "p3_found": lambda s, d: groups.found(load(s, d, "synth_manifest").dropDuplicates(["row_id"])),
