@@ -25,36 +25,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrivan.llm.groups import contract
 from scrivan.runtime import stage
 
 #: Sets in one tree; how often two sets right at the similarity share a shard (more alike ones do so more often).
-SHARD, RECALL = 4000, 0.999
+SHARD, RECALL = 4000, 0.995
+
+
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def tokens_of(text: str, shingle: int, memo: dict[str, int]) -> np.ndarray:
+    """The distinct hashed words, or runs of ``shingle`` words, of a text, in rising order."""
+    words = text.lower().split()
+    if len(words) < shingle:
+        return np.empty(0, np.uint64)
+    for w in words:
+        if w not in memo:
+            if len(memo) > 1_000_000:
+                memo.clear()
+            memo[w] = xxhash.xxh64_intdigest(w)
+    try:
+        x = np.array([memo[w] for w in words], dtype=np.uint64)
+    except KeyError:  # the memo was emptied half-way
+        x = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    if shingle > 1:
+        n = len(x) - shingle + 1
+        out = np.zeros(n, np.uint64)
+        for k in range(shingle):
+            out = (out ^ (out >> np.uint64(31))) * _ONE + x[k : k + n]
+        x = (out ^ (out >> np.uint64(29))) * _TWO
+    return np.unique(x)
 
 
-def token_sets(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, sid, n, toks): the distinct hashed words or word shingles of every text; ``sid`` is the class of equal sets."""
-    w = F.split(F.regexp_replace(F.lower(text_col), r"^(?U:\s+)|(?U:\s+)$", ""), r"(?U)\s+")
-    # words are hashed once, a shingle is the hash of its words' hashes: lambdas see longs only
-    hashed = F.transform(F.filter(w, lambda x: x != ""), lambda x: F.xxhash64(x))
-    base = rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), hashed.alias("w"))
-    if shingle > 1:
-        n = F.size("w") - (shingle - 1)
-        runs = F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(shingle)])
-        base = base.where(n > 0).select("id", F.transform(runs, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(shingle)])).alias("w"))
-    base = base.select("id", F.array_sort(F.array_distinct("w")).alias("toks")).where(F.size("toks") > 0)
-    return base.select("id", F.xxhash64("toks").alias("sid"), F.size("toks").alias("n"), "toks")
+def class_of(toks: np.ndarray) -> int:
+    """The class of equal sets: a hash of the set."""
+    return xxhash.xxh64_intdigest(toks.tobytes()) - 2**63
 
 
-def _signature(toks: list[int], width: int) -> int:
-    sig = 0
-    for t in toks:
-        sig ^= 1 << (t % width)
-    return sig
+def signature(toks: np.ndarray, width: int) -> bytes:
+    """One bit for each hash modulo ``width``, toggled by every token there."""
+    odd = np.bincount((toks % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 class BKTree:
@@ -98,45 +114,46 @@ def bands_needed(share: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - share**rows))
 
 
-def _banded(width: int, bands: int, rows: int):
-    """(signature, band keys) of hashed sets: minima of ``bands * rows`` multiply-add hashes."""
+def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int, width: int, bands: int, band_rows: int) -> DataFrame:
+    """(id, sid, n, sig, keys): class, size, signature and band keys (minima of multiply-add hashes) of every text's set."""
     rng = np.random.default_rng(20_240_601)
-    factor = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    term = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    weight = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
-
-    @F.pandas_udf(T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
-    def sketch(toks: pd.Series) -> pd.DataFrame:
-        sigs, keys = [], []
-        for ts in toks:
-            x = np.asarray(ts, dtype=np.int64).view(np.uint64)
-            odd, times = np.unique(x % np.uint64(width), return_counts=True)
-            bits = np.zeros(width, dtype=np.uint8)
-            bits[odd[times % 2 == 1].astype(np.int64)] = 1
-            sigs.append(np.packbits(bits, bitorder="little").tobytes())
-            low = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
-            for part in range(0, len(x), 4096):  # whole sets, a bounded table at a time
-                mixed = x[part : part + 4096, None] * factor + term
-                low = np.minimum(low, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-            key = (low.reshape(bands, rows) * weight).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)
-            keys.append((key ^ (key >> np.uint64(31))).view(np.int64))
-        return pd.DataFrame({"sig": sigs, "keys": keys})
-
-    return sketch
-
-
-def class_pairs(sets: DataFrame, share: tuple[int, int], width: int, rows: int, recall: float = RECALL) -> DataFrame:
-    """(a, b): classes of staged ``token_sets`` whose sets have ``share`` = (p, q), p/q, of their union in common; a < b."""
+    factor = rng.integers(1, 2**63, bands * band_rows, dtype=np.uint64) | np.uint64(1)
+    term = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
+    weight = rng.integers(1, 2**63, band_rows, dtype=np.uint64) | np.uint64(1)
+
+    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
+        for frame in frames:
+            out = []
+            for key, text in zip(frame.id, frame.text):
+                x = tokens_of(text, shingle, memo)
+                if not len(x):
+                    continue
+                low = np.full(bands * band_rows, 2**64 - 1, dtype=np.uint64)
+                for part in range(0, len(x), 4096):  # whole sets, a bounded table at a time
+                    mixed = x[part : part + 4096, None] * factor + term
+                    mixed >>= np.uint64(20)
+                    np.minimum(low, mixed.min(axis=0), out=low)
+                band = (low.reshape(bands, band_rows) * weight).sum(axis=1, dtype=np.uint64) * _ONE + np.arange(bands, dtype=np.uint64)
+                out.append((key, class_of(x), len(x), signature(x, width), (band ^ (band >> np.uint64(31))).view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "sid", "n", "sig", "keys"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    texts = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.mapInPandas(sketch, f"id {kind}, sid bigint, n int, sig binary, keys array<bigint>")
+
+
+def class_pairs(rows: DataFrame, sets: DataFrame, id_col: str, text_col: str, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b): classes of staged ``sketches`` whose sets have ``share`` = (p, q), p/q, of their union in common; a < b."""
     p, q = share
-    copies = sets.groupBy("sid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sid", "first")
-    spare = stage(sets.select("id", "sid").join(copies, "sid").where("id <> first").select("id", "sid").distinct())
-    one = sets.join(spare, ["id", "sid"], "left_anti")
-    full = stage(one.select("sid", "n", _banded(width, bands_needed(p / q, rows, recall), rows)("toks").alias("s")).select("sid", "n", "s.sig", "s.keys"))
-    keyed = full.select("sid", F.explode("keys").alias("key")).repartition("key")
+    copies = sets.groupBy("sid").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sid", "first")
+    spare = stage(sets.select("row", "sid").join(copies, "sid").where("row <> first").select("row"))
+    one = sets.join(spare, "row", "left_anti")
+    keyed = one.select("sid", F.explode("keys").alias("key")).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / SHARD).cast("int").alias("trees"))
     placed = keyed.join(sizes.hint("shuffle_hash"), "key").withColumn("home", F.pmod(F.xxhash64("sid"), F.col("trees")).cast("int"))
     placed = placed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("guest", F.col("tree") != F.col("home"))
-    ready = placed.select("key", "tree", "guest", "sid").join(full.select("sid", "n", "sig"), "sid")
+    ready = placed.select("key", "tree", "guest", "sid").join(one.select("sid", "n", "sig"), "sid")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, tree = None, BKTree()
@@ -154,15 +171,29 @@ def class_pairs(sets: DataFrame, share: tuple[int, int], width: int, rows: int,
             yield pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
 
     found = ready.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInPandas(search, "a bigint, b bigint").distinct()
-    left, right = one.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), one.select(F.col("sid").alias("b"), F.col("toks").alias("tb"))
-    both = stage(found).join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    met = stage(found)
+    # the sets of the classes concerned, read again from one text of each
+    ids = met.select(F.col("a").alias("sid")).unionByName(met.select(F.col("b").alias("sid"))).distinct().join(one.select("sid", "id"), "sid").select("id").distinct()
+
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
+        for frame in frames:
+            sets_ = [tokens_of(text, shingle, memo) for text in frame.text]
+            sets_ = [x for x in sets_ if len(x)]
+            yield pd.DataFrame({"sid": pd.Series([class_of(x) for x in sets_], dtype="int64"), "toks": [x.view(np.int64) for x in sets_]})
+
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").select("text")
+    toks = texts.mapInPandas(again, "sid bigint, toks array<bigint>").dropDuplicates(["sid"])
+    left, right = toks.toDF("a", "ta"), toks.toDF("b", "tb")
+    both = met.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
     return both.where(F.col("i") * q >= (F.size("ta") + F.size("tb") - F.col("i")) * p).select("a", "b")
 
 
 def linked(rows: DataFrame, id_col: str, text_col: str, shingle: int, share: tuple[int, int], width: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
     """The members (id, sid) of each class, and the pairs (a, b) of similar classes; both staged."""
-    sets = stage(token_sets(rows, id_col, text_col, shingle).dropDuplicates(["id", "sid"]))
-    return stage(sets.select("id", "sid")), stage(class_pairs(sets, share, width, band_rows))
+    bands = bands_needed(share[0] / share[1], band_rows, RECALL)
+    sets = stage(sketches(rows, id_col, text_col, shingle, width, bands, band_rows).withColumn("row", F.monotonically_increasing_id()))
+    return sets.select("id", "sid").distinct(), stage(class_pairs(rows, sets, id_col, text_col, shingle, share))
 
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -186,12 +217,12 @@ def titles(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pages(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return linked(results.where("is_latest"), "document_id", "raw_text", 3, (1, 2), 2048, 4)
+    return linked(results.where("is_latest"), "document_id", "raw_text", 3, (1, 2), 512, 4)
 
 
 def pages_strict(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The usual near-duplicate setting: shingles of five words, similarity 0.8."""
-    return linked(results.where("is_latest"), "document_id", "raw_text", 5, (4, 5), 2048, 8)
+    return linked(results.where("is_latest"), "document_id", "raw_text", 5, (4, 5), 512, 8)
 
 
 def _named(name: str) -> Column:
