@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivan.llm import groups, leaks, lookalike, names, neardup, overlap, packing, scan_noise
+from scrivan.llm import encodings, groups, leaks, lookalike, names, neardup, overlap, packing, pii, scan_noise
 from scrivan.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,12 @@ QUERIES: dict[str, Query] = {
     "p5_report": lambda s, d: overlap.report(load(s, d, "synth_manifest")),
     "p6_found": lambda s, d: lookalike.found(load(s, d, "ocr_results"), load(s, d, "ocr_comparison")),
     "p6_texts": lambda s, d: lookalike.texts(load(s, d, "ocr_results"), load(s, d, "ocr_comparison")),
+    "p7_found": lambda s, d: pii.found(load(s, d, "ocr_results")),
+    "p7_masked": lambda s, d: pii.masked(load(s, d, "ocr_results")),
     "p8_containers": lambda s, d: packing.containers(load(s, d, "documents"), VOCABULARY),
+    "p10_found": lambda s, d: encodings.found(load(s, d, "documents")),
+    "p10_texts": lambda s, d: encodings.texts(load(s, d, "documents")),
+    "p10_ciphers": lambda s, d: encodings.ciphers(load(s, d, "documents")),
     "p9_found": lambda s, d: leaks.found(load(s, d, "documents"), load(s, d, "eval_items")),
     "p9_cleaned": lambda s, d: leaks.cleaned(load(s, d, "documents"), load(s, d, "eval_items")),
 }
