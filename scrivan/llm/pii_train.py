@@ -14,8 +14,10 @@ from collections import Counter
 import numpy as np
 
 from scrivan.llm import pii
-from scrivan.llm.pii import LABELS, MODEL, N_CHARS, SAMPLE, TYPES, WIDTH, Model, encode, lstm, spans_of, viterbi
+from scrivan.llm.pii import LABELS, MODEL, N_CHARS, SAMPLE, TYPES, Model, encode, lstm, spans_of, viterbi
 
+#: Characters of a training window.
+TRAINED = 128
 _NAME = rf"[{pii._UP}][^\W\d_]*\.?(?:\s[{pii._UP}][^\W\d_]*\.?){{1,4}}"
 CUES = [
     re.compile(rf"(?:Người\s(?:ký|nộp\shồ\ssơ)|Họ\svà\stên)\s?:\s({_NAME})"),
@@ -63,14 +65,14 @@ def windows(texts: list[str], family: set[str], rng: np.random.Generator) -> tup
             y[a] = 1 + 2 * k
         for a, b in pii.stretches(text):
             shift = int(rng.integers(0, 30))
-            for at in range(max(0, a - shift), b, WIDTH - 30):
-                piece, lab = text[at : at + WIDTH], y[at : at + WIDTH]
+            for at in range(max(0, a - shift), b, TRAINED - 30):
+                piece, lab = text[at : at + TRAINED], y[at : at + TRAINED]
                 if len(piece) < 20:
                     continue
                 piece = vary(piece, lab, rng)
-                x = np.zeros(WIDTH, np.int16)
+                x = np.zeros(TRAINED, np.int16)
                 x[: len(piece)] = encode(piece)
-                z = np.zeros(WIDTH, np.int8)
+                z = np.zeros(TRAINED, np.int8)
                 z[: len(piece)] = lab
                 if z[0] and z[0] % 2 == 0:
                     z[0] -= 1
