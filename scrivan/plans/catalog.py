@@ -1,4 +1,9 @@
 """Every query of the core by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from scrivan.operators import relational, search
+
+_ALL = {**search.CATALOG, **relational.CATALOG}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
