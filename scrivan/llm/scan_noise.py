@@ -47,10 +47,12 @@ SHARE, LEAST, RATIO, MOST_CORRECTIONS = 2e-6, 20, 12, 3_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"([^\W\d_]+)(-|¬|­|‐|‑)[ \t]*$")
 _NUMBER_LINE = re.compile(r"(?i)^\W*(?:(?:trang|page|tr\.?|p\.)\s*\d{1,4}(?:\s*(?:/|of|trên)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4}|[-–—~\[(]\s*\d{1,4}\s*[-–—~\])]|\d{1,4})\W*$")
-_ENDED = re.compile(r"[.;,!?]\s*$")
 _PLAIN_NUMBER = re.compile(r"^\s*\d{1,4}\s*$")
 _DIGITS = re.compile(r"(?<![^\W_])(?=[\dlIOoSBZ]*\d[\dlIOoSBZ]*[lIOoSBZ]|[\dlIOoSBZ]*[lIOoSBZ][\dlIOoSBZ]*\d)[\dlIOoSBZ]{3,}(?![^\W_])")
+_MIXED = re.compile(r"\d[lIOoSBZ]|[lIOoSBZ]\d")
 _AS_DIGIT = str.maketrans("lIOoSBZ", "1100582")
+_HYPHENS = ("-", "¬", "\u00ad", "‐", "‑")
+_ENTRY = re.compile(r"(?:[-•*]|\d+[.)])\s")
 _HIDDEN = re.compile("[\u200b-\u200d\u2060\ufeff]|\u00ad(?!\\s*\n)")
 _BAR = re.compile(r"(?<=[^\W_])\|(?=[^\W_])")
 
@@ -86,7 +88,9 @@ def texts_of(results: DataFrame) -> DataFrame:
 
 def usual(body: str) -> str:
     """Composed letters, without invisible characters inside lines: those are another problem's and no misreading."""
-    return _HIDDEN.sub("", body if unicodedata.is_normalized("NFC", body) else unicodedata.normalize("NFC", body))
+    if not unicodedata.is_normalized("NFC", body):
+        body = unicodedata.normalize("NFC", body)
+    return _HIDDEN.sub("", body) if any(c in body for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad") else body
 
 
 def line_key(line: str) -> str:
@@ -105,9 +109,10 @@ def counts(texts: DataFrame) -> DataFrame:
                 seen.update(_WORD.findall(body.lower()))
                 top = True
                 for line in body.split("\n"):
-                    if not line.strip():
+                    if not (top or len(line) < 40) or not line.strip():
+                        top = top and not line.strip()
                         continue
-                    if top and not _ENDED.search(line) and len(key := line_key(line)) >= 8:
+                    if top and line.rstrip()[-1] not in ".;,!?" and len(key := line_key(line)) >= 8:
                         lines[key] += 1
                     top = bool(_NUMBER_LINE.match(line))
             rows = [("w", k, n) for k, n in seen.items()] + [("h", k, n) for k, n in lines.items()]
@@ -147,6 +152,7 @@ class Repair:
     def __init__(self, fixes: dict[str, tuple[str, bool, float]], known: set[str], headers: list[str]) -> None:
         self.fixes, self.known = fixes, known
         self.headers = {h: k for k, h in enumerate(headers)}
+        self.longest = int(1.6 * max(map(len, headers), default=0)) + 12  # of a header line with its blanks and number
         self.grams = [(k, h, {h[i : i + 2] for i in range(len(h) - 1)}) for h, k in self.headers.items()]
 
     def header_of(self, key: str) -> int:
@@ -162,7 +168,7 @@ class Repair:
 
     def furniture(self, lines: list[str]) -> tuple[set[int], set[int], set[int]]:
         """Lines that are running headers, page numbers, and running headers with a page number."""
-        keys = [line_key(x) if len(x) < 120 and not _ENDED.search(x) else "" for x in lines]
+        keys = [line_key(x) if 8 <= len(x) <= self.longest and x.rstrip()[-1:] not in ".;,!?" else "" for x in lines]
         of = {i: h for i, k in enumerate(keys) if k and (h := self.header_of(k)) >= 0}
         often = Counter(of.values())
         running = {i for i, h in of.items() if often[h] > 1}
@@ -205,7 +211,7 @@ class Repair:
         known = self.known
         out: list[str] = []
         for line in kept:
-            m = _BREAK.search(out[-1]) if out else None
+            m = _BREAK.search(out[-1]) if out and out[-1].rstrip(" \t")[-1:] in _HYPHENS else None
             if m and line.strip():
                 tail = re.match(r"\s*([^\W\d_]+)", line)
                 if tail:
@@ -219,10 +225,11 @@ class Repair:
                         continue
             out.append(line)
         text = "\n".join(out)
-        fixed = _BAR.sub(" ", text)
+        fixed = _BAR.sub(" ", text) if "|" in text else text
         if fixed != text:
             kinds.add("char_error")
-        spans = list(_WORD.finditer(fixed))
+        odd = not self.fixes.keys().isdisjoint(_WORD.findall(fixed.lower())) or _MIXED.search(fixed) is not None
+        spans = list(_WORD.finditer(fixed)) if odd else []
         built, at = [], 0
         for k, m in enumerate(spans):
             token = m.group()
@@ -261,12 +268,12 @@ def paragraphs(text: str) -> str:
         if not bare:
             fresh = True
             continue
-        if fresh or not out or (out[-1][-1] in ".!?;:" and bare[0].isupper()) or re.match(r"([-•*]|\d+[.)])\s", bare):
+        if fresh or not out or (out[-1][-1] in ".!?;:" and bare[0].isupper()) or _ENTRY.match(bare):
             out.append(bare)
         else:
             out[-1] += " " + bare
         fresh = False
-    return "\n".join(re.sub(r"[ \t]+", " ", x) for x in out)
+    return "\n".join(" ".join(x.split()) for x in out)
 
 
 def repaired(results: DataFrame) -> DataFrame:
