@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scrivan.operators import analytics, relational, search
+from scrivan.operators import analytics, relational, search, textops
 
-_ALL = {**search.CATALOG, **relational.CATALOG, **analytics.CATALOG}
+_ALL = {**search.CATALOG, **relational.CATALOG, **analytics.CATALOG, **textops.CATALOG}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
