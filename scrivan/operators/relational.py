@@ -237,14 +237,14 @@ INTEGRITY_SQL = f"WITH {IDX} SELECT id, upper(substring(sha256(concat_ws(':', id
 
 
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
-    """(event_id, last_error): the latest error before each purchase of the same user, by one union and a running last value."""
+    """(event_id, last_error): the latest error (-1 for none) before each purchase of the same user, by one union and a running last value."""
     e = load(spark, d, "events").where("event_type in ('error', 'purchase')").select("event_id", "user_id", "ts", "event_type")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("last_error", last).where("event_type = 'purchase'").select("event_id", "last_error")
+    return e.withColumn("last_error", last).where("event_type = 'purchase'").select("event_id", F.coalesce("last_error", F.lit(-1)).alias("last_error"))
 
 
-AS_OF_SQL = "SELECT event_id, last_error FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_error FROM events WHERE event_type IN ('error', 'purchase')) WHERE event_type = 'purchase'"
+AS_OF_SQL = "SELECT event_id, coalesce(last_error, -1) AS last_error FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_error FROM events WHERE event_type IN ('error', 'purchase')) WHERE event_type = 'purchase'"
 
 CATALOG = {
     "rls_filter": (rls_filter, RLS_SQL),
