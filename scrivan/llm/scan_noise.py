@@ -138,8 +138,9 @@ def corrections(counted: DataFrame, total: int) -> DataFrame:
     least = max(LEAST, int(total * SHARE))
     frequent = tokens.where(F.col("n") >= least).where(~F.regexp_like("token", F.lit(r"\d"))).where(F.length("token") > 1).toDF("word", "m", "hw")
     shifts = spark.createDataFrame(_shifts())
-    moved = tokens.where(F.length("token") > 1).crossJoin(F.broadcast(shifts)).withColumn("hw", F.pmod(F.col("h") - F.col("shift"), F.lit(PRIME)))  # a fixed few shifts a word
-    met = moved.join(frequent, "hw").where((F.col("m") >= F.col("n") * RATIO) & (F.col("word") != F.col("token")))
+    each = F.explode(F.lit([int(x) for x in sorted(set(_shifts()["shift"]))]).cast("array<bigint>"))  # a fixed few shifts a word
+    moved = tokens.where(F.length("token") > 1).withColumn("shift", each).withColumn("hw", F.pmod(F.col("h") - F.col("shift"), F.lit(PRIME)))
+    met = moved.join(frequent, "hw").join(F.broadcast(shifts), "shift").where((F.col("m") >= F.col("n") * RATIO) & (F.col("word") != F.col("token")))
     letters = F.length(F.regexp_replace("token", r"\d", ""))
     met = met.where((letters * 2 > F.length("token")) & _explained("word", "token", "what"))
     best = F.max(F.struct(F.col("m"), (~F.col("soft")).alias("hard"), F.col("word"))).alias("b")
