@@ -229,9 +229,10 @@ class Reader:
 
     def __init__(self, known: dict[str, int], cipher: dict[tuple[str, str], str]) -> None:
         self.known, self.cipher = known, cipher
+        self.most = max(known.values(), default=0)
         self.memo: dict[str, dict[str, tuple[dict, int]]] = {}
         # what the collection writes only because it is garbled is no evidence
-        for w in [w for w in known if not w.isascii() and known[w] < 1000 * LEAST and self.word(w, "")[1]]:
+        for w in [w for w in known if not w.isascii() and self.word(w, "")[1]]:
             del known[w]
         self.memo.clear()
 
@@ -254,9 +255,6 @@ class Reader:
         bare = core(word)
         n = self.known.get(bare, 0)
         plain = _usual(word)
-        # letters of the usual alphabet, in one case, as the collection writes them often
-        if plain and n >= 1000 and (bare == word or word[1:].islower() or word.isupper()):
-            return {}, 0
         best = None
         for read in utf8_readings(word):
             if _usual(read) and any(not c.isascii() for c in read):
@@ -265,6 +263,10 @@ class Reader:
                     best = (rank, read)
         if best is not None and (best[0][0] or n == 0 or not plain) and (best[0][0] or len(best[1]) < len(word)):
             return {"utf-8": (best[1], 1)}, 2
+        enough = max(LEAST, RATIO * n)
+        # no word is so much more frequent that this one could be a garbled form of it
+        if plain and enough > self.most and (bare == word or word[1:].islower() or word.isupper()):
+            return {}, 0
         cut = re.split(r"([-/])", word)
         if len(cut) > 1:  # parts of a number or a compound
             parts = [({}, 0) if x.isascii() else self._word(x, source) for x in cut]
@@ -278,7 +280,6 @@ class Reader:
         coded = re.sub(r"[^\x00-\x7f]{1,4}", lambda m: self.cipher.get((source, m.group().lower()), m.group()), bare)
         if coded != bare and _usual(coded):
             options["cipher"] = (word.lower().replace(bare, coded), self.known.get(coded, 0))
-        enough = max(LEAST, RATIO * n)
         options = {p: (read, m) for p, (read, m) in options.items() if m >= enough and (read.isupper() or not word.isupper())}
         if not options:
             return {}, 0

@@ -118,3 +118,13 @@ def test_em_learns_a_cipher():
     out = encodings.expectation_maximization(pd.DataFrame(rows, columns=["before", "symbol", "after", "n"]), model)
     right = sum(s == "#" + c for s, c in zip(out.symbol, out.letter))
     assert right >= 0.7 * len(out)
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_reading_does_not_depend_on_the_size_of_the_collection(times):
+    counts = {"số": 5000, "sá": 235, "sè": 114, "hồ": 4000, "há": 102, "cố": 900, "cá": 1970, "kỳ": 2000, "kú": 84, "năm": 6000}
+    reader = encodings.Reader({w: n * times for w, n in counts.items()}, {})
+    assert reader.text("sá»‘ há»“ Cá»‘ năm", "s") == ("số hồ Cố năm", True)
+    assert reader.text("sè kú năm", "s") == ("số kỳ năm", True)
+    assert reader.text("số hồ cố kỳ năm cá", "s") == ("số hồ cố kỳ năm cá", False)
+    assert "sè" not in reader.known and "cá" in reader.known
