@@ -11,7 +11,8 @@ Names agree when the Monge–Elkan similarity of the shorter to the longer, over
 stand for parts that begin with them), reaches a threshold. Candidates for it share a band: a MinHash of the padded
 q-grams of the name's parts together with the class code, or of the number with one place masked or two swapped. The
 number of bands follows from the collision curve 1 - (1 - s^r)^b for a wanted recall at the least q-gram similarity.
-Bands of more than ``HOT`` entities are cut by a second MinHash into several smaller ones.
+Bands of more than ``HOT`` entities are cut into blocks of about that size, and each pair of blocks is compared by
+itself, so that no pair is lost.
 
 Star clustering: the centres are the entities with more rows than every neighbour they compete with; each other entity
 joins the best centre beside it, and none if two different centres fit equally well. Rounds go on until no link is left.
@@ -144,6 +145,17 @@ def _pairs(keyed: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _blocked_pairs(banded: DataFrame) -> DataFrame:
+    """``_pairs`` of staged (key, vertex, open, number), by pairs of blocks of a band; only what ``links`` may keep by its numbers."""
+    hot = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.ceil(F.col("c") / HOT).cast("int").alias("blocks"))
+    marked = banded.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    marked = marked.withColumn("home", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = marked.where("open").select("key", F.col("home").alias("i"), F.col("other").alias("j"), F.col("vertex").alias("a"), F.col("number").alias("number_a"))
+    b = marked.select("key", F.col("other").alias("i"), F.col("home").alias("j"), F.col("vertex").alias("b"), F.col("number").alias("number_b"))
+    near = F.coalesce(F.levenshtein("number_a", "number_b") <= 2, F.lit(True))
+    return a.join(b, ["key", "i", "j"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score): entities that may be the same student."""
     every = base.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("number"), F.mode("code").alias("code"))
@@ -152,16 +164,11 @@ def links(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = (F.col("number").isNull()) | (F.col("n") == 1)
     spelt = stage(base.where("name <> ''").select("entity", "name").distinct())
     count = bands_needed(LEAST_SIMILARITY, 1, RECALL)
-    hashed = spelt.join(every.where("code is not null").select("entity", "code", open_.alias("open")), "entity").withColumn("h", _minhash("name", F.lit(count + 4)))
-    banded = hashed.select(
-        "entity", "open", "h", F.posexplode(F.slice("h", 1, count)).alias("band", "value"), "code"
-    ).select("entity", "open", "h", F.xxhash64("code", "band", "value").alias("key"))
-    banded = stage(banded.groupBy("key", "entity", "open").agg(F.min("h").alias("h")))
-    hot = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.lit(True).alias("hot"))
-    marked = banded.join(hot, "key", "left")
-    finer = F.transform(F.sequence(F.lit(count), F.lit(count + 3)), lambda k: F.xxhash64("key", k, F.get("h", k)))
-    keys = marked.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"), F.col("entity").alias("vertex"), "open")
-    by_name = _pairs(keys)
+    hashed = spelt.join(every.where("code is not null").select("entity", "code", "number", open_.alias("open")), "entity").withColumn("h", _minhash("name", F.lit(count)))
+    banded = hashed.select("entity", "open", "number", F.posexplode("h").alias("band", "value"), "code").select(
+        F.xxhash64("code", "band", "value").alias("key"), F.col("entity").alias("vertex"), "open", "number"
+    )
+    by_name = _blocked_pairs(stage(banded.distinct()))
     numbers = every.where("number is not null").select(F.explode(_neighbour_keys(F.col("number"))).alias("key"), F.col("entity").alias("vertex"), open_.alias("open"))
     candidates = stage(by_name.unionByName(_pairs(numbers)).distinct())
     side = lambda x: every.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "number", "code")], F.col("entity").alias(x))

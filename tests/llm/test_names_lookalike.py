@@ -51,6 +51,17 @@ def test_hot_bands(spark, monkeypatch):
     assert {tuple(r) for r in names.found(df).collect()} <= want
 
 
+def test_hot_bands_lose_no_link(spark, monkeypatch):
+    first, middle, last = ["nguyen", "tran", "le", "pham", "hoang"], ["thi minh", "van quoc", "duc anh", "huu nhat"], ["xuan", "hanh", "vinh", "khoa", "phuong"]
+    full = [f"{x} {y} {z}" for x in first for y in middle for z in last]
+    short = [" ".join([n.split(" ")[0], *(w[0] for w in n.split(" ")[1:-1]), n.split(" ")[-1]]) for n in full]
+    rows = [(str(k), None if k % 2 else f"2{k:07}", n, '{"lop": "TTK0000"}') for k, n in enumerate(full + short)]
+    base = names.entities(spark.createDataFrame(rows, "id string, student_id string, student_name string, extra string")).cache()
+    want = {(r.a, r.b) for r in names.links(base).collect()}
+    monkeypatch.setattr(names, "HOT", 7)
+    assert {(r.a, r.b) for r in names.links(base).collect()} == want and len(want) > 50
+
+
 TEXTS = [
     ("1", "Sinh viên bình thường, số 12/ĐHSL – «договор» α", False),
     ("2", unicodedata.normalize("NFD", "Trường Đại học, nghiệm thu ữ"), True),
