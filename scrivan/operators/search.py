@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from scrivan.functions.text import cosine, fold, jaccard, shingles, tokens
 from scrivan.operators.index import SQL as IDX
 from scrivan.operators.index import doc_index, sql_fold, sql_tokens
+from scrivan.runtime import stage
 from scrivan.sources.tables import load
 
 K1, B = 1.2, 0.75
+#: Best words of the sources of similar documents that are broadcast.
+MOST_TERMS = 1_000_000
 QUERIES = {1: "học bổng khuyến khích", 2: "quyết định kỷ luật", 3: "scholarship budget", 4: "thư viện trung tâm", 5: "ky tuc xa mua he"}
 
 
@@ -141,13 +144,29 @@ SUGGEST_SQL = f"WITH {IDX} SELECT title, strftime(max(created_at), '%Y-%m-%d %H:
 
 
 def more_like_this(spark: SparkSession, d: str, k_terms: int = 12, k: int = 5) -> DataFrame:
+    """``alike`` by titles."""
+    return alike(doc_index(spark, d).select("id", F.col("title").alias("text")), k_terms, k)
+
+
+def more_like_this_texts(spark: SparkSession, d: str, k_terms: int = 12, k: int = 5) -> DataFrame:
+    """``alike`` by titles and whole texts."""
+    return alike(search_docs(spark, d), k_terms, k)
+
+
+def alike(docs: DataFrame, k_terms: int, k: int) -> DataFrame:
     """(src, id, score, rank): for every record whose id's first eight digits are divisible by 100, the records that share its best words by tf-idf."""
-    docs = doc_index(spark, d).select("id", F.col("title").alias("text"))
-    post, stats = postings(docs)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = post.where(F.length("term") > 1).join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
-    best = top(weighed.where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 100 == 0), "id", k_terms, F.desc("w"), F.asc("term")).select(F.col("id").alias("src"), "term", F.col("w").alias("ws"))
-    hits = weighed.join(best, "term").where("src <> id").groupBy("src", "id").agg(F.round(F.sum(F.col("ws") * F.col("w")), 4).alias("score"))
+    words = stage(docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w")))
+    n = words.agg(F.count(F.lit(1)).alias("n"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6)
+    sources = words.where(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 100 == 0).select(F.col("id").alias("src"), F.explode("w").alias("term")).where(F.length("term") > 1)
+    sources = sources.groupBy("src", "term").agg(F.count(F.lit(1)).alias("tf")).join(df, "term").crossJoin(F.broadcast(n)).withColumn("ws", weight)
+    best = stage(top(sources, "src", k_terms, F.desc("ws"), F.asc("term")).select("src", "term", "ws", "df", "n"))
+    # beside few best words the documents stay where they are; more of them are joined by shuffles, with the same result
+    near = F.broadcast if best.count() <= MOST_TERMS else lambda x: x
+    flat = words.repartition("id").select("id", F.explode("w").alias("term")).join(near(best.select("term").distinct()), "term", "left_semi")
+    post = flat.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = post.join(near(best), "term").where("src <> id").groupBy("src", "id").agg(F.round(F.sum(F.col("ws") * weight), 4).alias("score"))
     return top(hits, "src", k, F.desc("score"), F.asc("id"))
 
 
@@ -158,6 +177,9 @@ best AS (SELECT id AS src, term, w AS ws FROM (SELECT *, row_number() OVER (PART
 hits AS (SELECT src, id, round(sum(ws * w), 4) AS score FROM weighed JOIN best USING (term) WHERE src <> id GROUP BY src, id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 5"""
 
+#: The same over titles and whole texts.
+MLT_TEXTS_SQL = MLT_SQL.replace(sql_tokens("title"), sql_tokens("concat_ws(' ', title, body)"))
+
 
 def duplicate_scores(spark: SparkSession, d: str) -> DataFrame:
     """(a, b, score, level): records of one title prefix (its number and date) by 0.4 word and 0.6 word-pair similarity."""
@@ -241,6 +263,7 @@ CATALOG = {
     "search_fuzzy_terms": (fuzzy_terms, FUZZY_SQL),
     "search_suggest": (suggest, SUGGEST_SQL),
     "search_more_like_this": (more_like_this, MLT_SQL),
+    "search_more_like_this_texts": (more_like_this_texts, MLT_TEXTS_SQL),
     "search_duplicate_check": (duplicate_scores, DUP_SQL),
     "search_cosine_topk": (cosine_topk, COSINE_SQL),
     "search_rrf_fusion": (rrf, RRF_SQL),
