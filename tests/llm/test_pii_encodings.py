@@ -108,16 +108,26 @@ def test_em_learns_a_cipher():
     import pandas as pd
 
     words = pd.DataFrame({"token": WORDS, "n": [1000] * len(WORDS)})
-    model = encodings.bigram_model(words)
-    rows = []
-    for w in WORDS:
-        padded = "^" + w + "$"
-        for i, c in enumerate(padded[1:-1], 1):
-            if not c.isascii() and padded[i - 1].isascii() and padded[i + 1].isascii():
-                rows.append((padded[i - 1], "#" + c, padded[i + 1], 50))
-    out = encodings.expectation_maximization(pd.DataFrame(rows, columns=["before", "symbol", "after", "n"]), model)
-    right = sum(s == "#" + c for s, c in zip(out.symbol, out.letter))
-    assert right >= 0.7 * len(out)
+    language = encodings.Language(words)
+    cipher = {c: chr(0x4E00 + k) for k, c in enumerate(sorted({c for w in WORDS for c in w if not c.isascii()}))}
+    seen = ["".join(cipher.get(c, c) for c in w) for w in WORDS if not w.isascii()]
+    rows = [(*x, 50) for w in seen for x in encodings.surroundings(w)]
+    out = encodings.expectation_maximization(pd.DataFrame(rows, columns=["before", "run", "after", "n"]), language)
+    best = out.sort_values("p").groupby("symbol").letter.last()
+    assert sum(best[s] == c for c, s in cipher.items()) >= 0.9 * len(cipher)
+    assert encodings.apart("được") == "đươ\u0323c" and encodings.multibyte("sá»‘") and not encodings.multibyte("häc")
+
+
+def test_the_cipher_reads_words_without_any_page_table(spark, monkeypatch):
+    monkeypatch.setattr(encodings, "LEAST", 3)
+    rows, clean = documents()
+    cipher = {c: chr(0x2C80 + k) for k, c in enumerate(sorted({c for w in WORDS for c in w if not c.isascii()}))}
+    texts = [" ".join(WORDS[(5 * k + 3 * j) % 16] for j in range(12)) for k in range(12)]
+    rows += [(300 + k, "".join(cipher.get(c, c) for c in t), "u") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.text for r in encodings.restored(df, pages=False).collect()}
+    assert sum(got.get(300 + k) == t for k, t in enumerate(texts)) >= 11
+    assert not {300 + k for k in range(12)} & {r.doc_id for r in encodings.restored(df, pages=False, ciphered=False).collect()}
 
 
 @pytest.mark.parametrize("times", [1, 10, 100])
