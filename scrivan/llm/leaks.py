@@ -1,8 +1,8 @@
 """Evaluation texts inside training text: a generalised suffix automaton of the test items' words, streamed over every document.
 
 The automaton of all items has at most twice as many states as the items have words. It is built on the driver and
-broadcast while the items have at most ``MOST_WORDS`` words together (checked); beyond that the items are cut into groups
-of that size by whole items, and the documents are streamed once per group.
+broadcast; items of more than ``MOST_WORDS`` words together are cut into groups of that size by whole items, each with an
+automaton of its own, and items beyond forty such groups come to the driver slice by slice.
 
 Cases: null or empty texts give no rows; items shorter than ``least`` words can't be found; items with equal text are all
 reported; repeated documents or items count once; empty tables give empty results; other columns are ignored.
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,24 +120,25 @@ def _groups(items: list[tuple[int, list[str]]], most: int) -> list[list[tuple[in
     return groups
 
 
-def _sequences(items: DataFrame, least: int) -> list[tuple[int, list[str]]]:
-    """The items' words. Their size is checked before they come to the driver."""
-    n_words = items.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    if n_words > 40 * MOST_WORDS:
-        raise ValueError("the evaluation items are too many to stream documents over; share them out before")
-    rows = items.where("text is not null and item_id is not null").select("item_id", "text").distinct().collect()
-    return [(r.item_id, ws) for r in sorted(rows) if len(ws := words(r.text)) >= least]
+def automata(items: DataFrame, least: int) -> Iterator[Broadcast]:
+    """Broadcast automata of about ``MOST_WORDS`` words each that together hold every item; items come to the driver in slices of some such groups."""
+    spark = items.sparkSession
+    rows = items.where("text is not null and item_id is not null").select("item_id", "text").distinct()
+    n_words = rows.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    slices = -(-n_words // (40 * MOST_WORDS)) or 1
+    for k in range(slices):
+        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()
+        sequences = [(r.item_id, ws) for r in sorted(part) if len(ws := words(r.text)) >= least]
+        for group in _groups(sequences, MOST_WORDS):
+            yield spark.sparkContext.broadcast(SuffixAutomaton(group))
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, item_id, n_words, longest, share): words of the document inside merged spans that stand in the item."""
-    spark = documents.sparkSession
-    sequences = _sequences(items, least)
     out = []
     key = items.schema["item_id"].dataType.simpleString()
     doc = documents.schema["doc_id"].dataType.simpleString()
-    for group in _groups(sequences, MOST_WORDS):
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(group))
+    for automaton in automata(items, least):
 
         def scan(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
             tree = automaton.value
@@ -171,11 +173,7 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def cleaned(documents: DataFrame, items: DataFrame, least: int = 10, most_share: float = 0.5) -> DataFrame:
     """(doc_id, text, removed_words, dropped): leaked spans cut out; a document whose leaked share exceeds ``most_share`` is dropped whole."""
-    spark = documents.sparkSession
-    sequences = _sequences(items, least)
-    if sum(len(w) for _, w in sequences) > MOST_WORDS:
-        raise ValueError("clean against one group of items after another")
-    automaton = spark.sparkContext.broadcast(SuffixAutomaton(sequences))
+    trees = list(automata(items, least))
 
     def clean(frames):
         from scrivan.llm.words import located
@@ -185,9 +183,13 @@ def cleaned(documents: DataFrame, items: DataFrame, least: int = 10, most_share:
             for doc_id, text in zip(frame.doc_id, frame.text):
                 places = located(text)
                 hit = [False] * (len(places) + 1)
-                for end, length, _ in automaton.value.matches([w for w, _, _ in places], least):
-                    for k in range(end - length, end):
-                        hit[k] = True
+                ws = [w for w, _, _ in places]
+                for tree in trees:
+                    done = 0
+                    for end, length, _ in tree.value.matches(ws, least):
+                        for k in range(max(done, end - length), end):
+                            hit[k] = True
+                        done = end
                 n = sum(hit)
                 if n > most_share * max(1, len(places)):
                     out.append((doc_id, None, n, True))

@@ -1,10 +1,12 @@
 """Fixed-capacity containers: vector best-fit over tokens, documents and attention cost.
 
 Sizes are tokens of a public byte-level BPE vocabulary (its path is a parameter). A document longer than the capacity is
-cut into full pieces and a rest; only such documents are cut. Items go, by a hash, to blocks of a bounded expected size;
-each block is packed by itself, largest item first, into the open container that the item leaves smallest by the
-weighted norm of the three residual capacities, among those where it fits under all three. Containers that stay emptier
-than ``full`` are opened again and packed once more in fewer, mixed blocks.
+cut into full pieces and a rest; only such documents are cut. A container has three capacities: tokens, documents, and
+the sum of squared sizes, which is what attention inside each document costs; the last is below the square of the token
+capacity, so that no container costs as much as one long document beside others (an item that alone costs more has a
+container of its own). Items go, by a hash, to blocks of a bounded expected size; each block is packed by itself,
+largest item first, into the best of all open containers under every capacity. Containers that stay emptier than
+``full`` are opened again and packed once more in fewer, mixed blocks.
 
 Cases: null texts and empty texts have no tokens and no container; equal ids with equal text are one item; ties fall to
 the smaller id; an empty table gives an empty result. Texts of any length are tokenised whole.
@@ -13,9 +15,11 @@ the smaller id; an empty table gives an empty result. Texts of any length are to
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from scrivan.runtime import stage
 
-CAPACITY, MOST_DOCUMENTS, BLOCK = 2048, 64, 20_000
+#: Tokens, documents and share of the squared tokens that a container may hold; items of a block.
+CAPACITY, MOST_DOCUMENTS, COST_SHARE, BLOCK = 2048, 16, 0.9, 20_000
 WEIGHTS = (1.0, 0.05, 0.1)
 _encoders: dict[str, object] = {}
 
@@ -47,7 +52,7 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             sizes = []
             for text in batch.column(1).to_pylist():
-                # whole texts; only the call is cut, at line ends, to keep each bounded
+                # whole texts; only the call is cut, where the tokenizer always cuts too
                 sizes.append(sum(len(enc.encode_ordinary(p)) for p in _parts(text)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
@@ -56,61 +61,74 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(count, f"doc_id {kind}, n_tokens bigint").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+_FRESH_LINE = re.compile(r"\n(?=\S)")
+
+
 def _parts(text: str, size: int = 200_000) -> Iterator[str]:
-    if len(text) <= size:
-        yield text
-        return
+    """A text in parts of about ``size`` characters, cut only between a line end and a character that is no blank.
+
+    No token of the vocabulary's pattern spans such a place, so the parts have as many tokens as the whole.
+    """
     at = 0
-    while at < len(text):
-        cut = text.rfind("\n", at, at + size) + 1 if at + size < len(text) else len(text)
-        cut = cut if cut > at else at + size
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > size and (m := _FRESH_LINE.search(text, at + size)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
 
+def best_fit(sizes: list[int], capacity: int, most: int, cost: int, weights: tuple[float, float, float] = WEIGHTS, choose: str = "norm", refused: dict[str, int] | None = None) -> list[int]:
+    """The container of each item, items being in falling size.
 
-def best_fit(sizes: list[int], capacity: int, most: int, cost: int, weights: tuple[float, float, float] = WEIGHTS) -> list[int]:
-    """The container of each item, items being in falling size. Open containers are kept by residual tokens."""
+    An open container is fit for an item under all three capacities; an item that alone exceeds the cost stands alone.
+    Of all the fit ones the item goes to the one of least weighted residual norm (``norm``), or of greatest weighted dot
+    product of demand and residuals (``dot``); ties fall to the older container. ``refused`` counts what each capacity
+    alone kept out.
+    """
     wt, wd, wc = weights[0] / capacity**2, weights[1] / most**2, weights[2] / cost**2
-    by_rest: list[list[int]] = [[] for _ in range(capacity + 1)]
-    docs, used, out = [], [], []
-    filled = 0  # bit r: some container has r tokens left
-    for size in sizes:
-        best, score = -1, None
-        mask = filled >> size
-        tried = 0
-        while mask and tried < 8:
-            rest = size + (mask & -mask).bit_length() - 1
-            if wt * (rest - size) ** 2 > (score if score is not None else float("inf")):
-                break
-            for bin_ in by_rest[rest][-8:]:
-                if docs[bin_] < most and used[bin_] + size * size <= cost:
-                    norm = wt * (rest - size) ** 2 + wd * (most - docs[bin_] - 1) ** 2 + wc * (cost - used[bin_] - size * size) ** 2
-                    if score is None or norm < score:
-                        best, score = bin_, norm
-                        found = rest
-            tried += score is not None
-            mask &= mask - 1
-        if best < 0:
-            best, found = len(docs), capacity
-            docs.append(0)
-            used.append(0)
+    n = len(sizes)
+    rest, docs, used, name = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    live = made = 0
+    least = sizes[-1] if n else 0
+    out = []
+    for turn, size in enumerate(sizes):
+        own = size * size
+        r, d, c = rest[:live] - size, most - 1 - docs[:live], cost - own - used[:live]
+        fits = (r >= 0) & (d >= 0) & (c >= 0)
+        if refused is not None:
+            refused["tokens"] += int(((r < 0) & (d >= 0) & (c >= 0)).sum())
+            refused["documents"] += int(((r >= 0) & (d < 0) & (c >= 0)).sum())
+            refused["cost"] += int(((r >= 0) & (d >= 0) & (c < 0)).sum())
+        at = np.flatnonzero(fits)
+        if len(at):
+            if choose == "norm":
+                score = wt * r[at] ** 2 + wd * d[at] ** 2 + wc * c[at].astype(float) ** 2
+            else:
+                score = -(wt * size * rest[at] + wd * (most - docs[at]) + wc * float(own) * (cost - used[at]))
+            best = int(at[score.argmin()])
+            rest[best] -= size
+            docs[best] += 1
+            used[best] += own
         else:
-            by_rest[found].remove(best)
-            if not by_rest[found]:
-                filled &= ~(1 << found)
-        docs[best] += 1
-        used[best] += size * size
-        rest = found - size
-        if docs[best] < most:
-            by_rest[rest].append(best)
-            filled |= 1 << rest
-        out.append(best)
+            best = live
+            rest[best], docs[best], used[best], name[best] = capacity - size, 1, own, made
+            live += 1
+            made += 1
+        out.append(int(name[best]))
+        if turn % 256 == 255:  # containers that no later item fits are closed
+            room, few, cheap = rest[:live] >= least, docs[:live] < most, used[:live] < cost
+            if refused is not None:
+                refused["documents"] += int((room & ~few & cheap).sum())
+                refused["cost"] += int((room & few & ~cheap).sum())
+            keep = np.flatnonzero(room & few & cheap)
+            for x in (rest, docs, used, name):
+                x[: len(keep)] = x[keep]
+            live = len(keep)
     return out
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, most: int = MOST_DOCUMENTS, cost: int | None = None, block: int = BLOCK, full: float = 0.97) -> DataFrame:
     """(doc_id, n_tokens) -> (doc_id, piece, n_tokens, container, fill): the container of each document or piece."""
-    cost = cost or capacity**2
+    cost = cost or int(COST_SHARE * capacity**2)
     kind = items.schema["doc_id"].dataType.simpleString()
     whole = F.expr(f"n_tokens div {capacity}")
     pieces = F.when(

@@ -45,7 +45,9 @@ def test_groups_of_items_give_the_same(spark, monkeypatch):
     docs, items = corpus()
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string"), spark.createDataFrame(items, "item_id bigint, text string")
     want = {tuple(r) for r in leaks.found(df, it).collect()}
-    monkeypatch.setattr(leaks, "MOST_WORDS", 60)
+    clean = {(r.doc_id, r.text, r.removed_words) for r in leaks.cleaned(df, it).collect()}
+    monkeypatch.setattr(leaks, "MOST_WORDS", 3)
+    assert {(r.doc_id, r.text, r.removed_words) for r in leaks.cleaned(df, it).collect()} == clean
     assert {tuple(r) for r in leaks.found(df, it).collect()} == want
 
 
@@ -59,11 +61,43 @@ def test_packing(spark):
         bins.setdefault(r.container, []).append(r.n_tokens)
     assert {k: sum(v) for k, v in pieces.items()} == {k: n for k, n in sizes if n}
     assert all(len(v) == -(-dict(sizes)[k] // 2048) for k, v in pieces.items())
-    assert all(sum(v) <= 2048 and len(v) <= packing.MOST_DOCUMENTS and sum(x * x for x in v) <= 2048**2 for v in bins.values())
+    assert all(sum(v) <= 2048 and len(v) <= packing.MOST_DOCUMENTS and (len(v) == 1 or sum(x * x for x in v) <= 0.9 * 2048**2) for v in bins.values())
     least = -(-sum(n for _, n in sizes) // 2048)
     assert len(bins) <= 1.1 * least + 2
 
 
+def test_best_fit_is_the_best_and_every_capacity_refuses():
+    rng = random.Random(3)
+    sizes = sorted((rng.choice([3, 5, 8, 40, 300, 950, 1500, 1990]) + rng.randrange(3) for _ in range(700)), reverse=True)
+    capacity, most, cost = 2048, 16, int(0.9 * 2048**2)
+    refused = {"tokens": 0, "documents": 0, "cost": 0}
+    got = packing.best_fit(sizes, capacity, most, cost, refused=refused)
+    assert all(refused.values())
+    wt, wd, wc = packing.WEIGHTS[0] / capacity**2, packing.WEIGHTS[1] / most**2, packing.WEIGHTS[2] / cost**2
+    bins: list[list[int]] = []
+    for size, mine in zip(sizes, got):
+        norm = []
+        for k, b in enumerate(bins):
+            r, d, c = capacity - sum(b) - size, most - len(b) - 1, cost - sum(x * x for x in b) - size * size
+            if min(r, d, c) >= 0:
+                norm.append((wt * r * r + wd * d * d + wc * float(c) ** 2, k))
+        if norm:
+            assert abs(min(norm)[0] - next(v for v, k in norm if k == mine)) < 1e-12
+        else:
+            assert mine == len(bins)
+            bins.append([])
+        bins[mine].append(size)
+    dotted = packing.best_fit(sizes, capacity, most, cost, choose="dot")
+    assert len(set(dotted)) >= -(-sum(sizes) // capacity) and packing.best_fit([], 10, 2, 90) == []
+
+
+def test_parts_have_the_tokens_of_the_whole():
+    enc = packing.encoder("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+    text = "".join(f"Dòng {k}:\n\n  thụt vào\r\n\tvà\nhết " for k in range(300))
+    assert "".join(packing._parts(text, 50)) == text and len(list(packing._parts(text, 50))) > 50
+    assert sum(len(enc.encode_ordinary(p)) for p in packing._parts(text, 50)) == len(enc.encode_ordinary(text))
+
+
 def test_token_counts(spark):
     path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
     long = "Trường Đại học Sương Lâm\n" * 30_000

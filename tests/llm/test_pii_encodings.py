@@ -126,7 +126,8 @@ def test_the_cipher_reads_words_without_any_page_table(spark, monkeypatch):
     rows += [(300 + k, "".join(cipher.get(c, c) for c in t), "u") for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id: r.text for r in encodings.restored(df, pages=False).collect()}
-    assert sum(got.get(300 + k) == t for k, t in enumerate(texts)) >= 11
+    pairs = [(a, b) for k, t in enumerate(texts) for a, b in zip(t.split(), got[300 + k].split())]
+    assert sum(a == b for a, b in pairs) >= 0.9 * len(pairs)
     assert not {300 + k for k in range(12)} & {r.doc_id for r in encodings.restored(df, pages=False, ciphered=False).collect()}
 
 
