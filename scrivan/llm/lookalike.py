@@ -16,7 +16,7 @@ tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,19 +24,36 @@ from pyspark.sql import functions as F
 
 from scrivan.runtime import stage
 
-# Letters that look like a usual one, with that one.
-LOOK_ALIKE = dict(
+# Letters of other scripts or of no usual alphabet that look like a usual one, with that one.
+_OTHERS = dict(
     zip(
-        "аеорсухіјѕһԁԛԝкАВЕКМНОРСТУХІЈЅҺԚԜ" "αονικρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ɡɑıɩʏɪᴏѵðÐƉɖ",
-        "aeopcyxijshdqwkABEKMHOPCTYXIJSHQW" "aovikpuABEZHIKMNOPTYX" "gaiiyiovđĐĐđ",
+        "аеорсухіјѕһԁԛԝкАВЕКМНОРСТУХІЈЅҺԚԜ" "αονικρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "օսհոՍՏ" "ᎪᏴᏟᎠᎬᎻᎥᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ" "ɡɑıɩʏɪᴏᴄᴠᴡᴢꜱѵðÐƉɖ",
+        "aeopcyxijshdqwkABEKMHOPCTYXIJSHQW" "aovikpuABEZHIKMNOPTYX" "ouhnUS" "ABCDEHIJKLMPRSTVWZ" "gaiiyiocvwzsvđĐĐđ",
     )
 )
+_PLANES = [(0x80, 0x10000), (0x1D000, 0x1D800), (0xE0000, 0xE0200)]
+_MARKS = [(0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)]
 
 
+def _styled() -> dict[str, str]:
+    """Letters that Unicode itself gives as a styled form (mathematical, script, roman numeral) of one ASCII letter."""
+    out = {}
+    for low, high in _PLANES:
+        for cp in range(low, high):
+            ch = chr(cp)
+            if not 0xFF00 <= cp < 0xFF60 and unicodedata.decomposition(ch)[:1] == "<" and unicodedata.category(ch) in ("Lu", "Ll", "Nl"):
+                plain = unicodedata.normalize("NFKC", ch)
+                if len(plain) == 1 and plain.isascii() and plain.isalpha():
+                    out[ch] = plain
+    return out
+
+
+LOOK_ALIKE = _OTHERS | _styled()
+
 
 def _mapping_rows() -> tuple[list[tuple], list[tuple], str]:
-    """Decompositions (char, parts, kind), compositions (parts, char) and the class of characters that some mapping changes."""
-    parts, composed, marks = [], [], set()
+    """Decompositions (char, parts, kind), compositions (parts, char) and the characters that some mapping changes."""
+    parts, composed = [], []
     for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x212A, 0x212C)]:
         ch = chr(cp)
         whole = unicodedata.normalize("NFD", ch)
@@ -44,28 +61,23 @@ def _mapping_rows() -> tuple[list[tuple], list[tuple], str]:
             parts.append((ch, list(whole), "singleton" if unicodedata.normalize("NFC", ch) != ch else None))
             if unicodedata.normalize("NFC", whole) == ch:
                 composed.append((whole, ch))
-    changing = []
+    changing = [0x212A, 0x212B, *(cp for low, high in _MARKS for cp in range(low, high)), *map(ord, LOOK_ALIKE)]
     for cp in [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)]:
         parts.append((chr(cp), list(unicodedata.normalize("NFKC", chr(cp))), "full_width"))
         changing.append(cp)
-    for cp in range(0x80, 0x10000):
-        kind = unicodedata.category(chr(cp))
-        if kind in ("Zs", "Zl", "Zp") and cp != 0x20:
-            parts.append((chr(cp), [" "], "space"))
-            changing.append(cp)
-        elif kind == "Cf" or 0xFE00 <= cp <= 0xFE0F:
-            parts.append((chr(cp), [], "invisible"))
-            changing.append(cp)
-        elif 0x300 <= cp < 0x370:
-            marks.add(cp)
-            changing.append(cp)
-    changing += [0x212A, 0x212B]
-    changing += [ord(c) for c in LOOK_ALIKE]
-    return parts, composed, "".join(f"\\x{{{cp:X}}}" for cp in sorted(set(changing)))
+    for low, high in _PLANES:
+        for cp in range(low, high):
+            kind = unicodedata.category(chr(cp))
+            if kind in ("Zs", "Zl", "Zp"):
+                parts.append((chr(cp), [" "], "space"))
+                changing.append(cp)
+            elif kind == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
+                parts.append((chr(cp), [], "invisible"))
+                changing.append(cp)
+    return parts, composed, "".join(map(chr, sorted(set(changing))))
 
 
 PARTS, COMPOSED, CHANGING = _mapping_rows()
-_LOOKS = "".join(LOOK_ALIKE)
 #: A usual Latin letter, in its ordinary or full-width form.
 _LATIN = r"A-Za-z\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{C0}-\x{CF}\x{D1}-\x{D6}\x{D9}-\x{DD}\x{E0}-\x{EF}\x{F1}-\x{F6}\x{F9}-\x{FD}\x{102}\x{103}\x{110}\x{111}\x{128}\x{129}\x{168}\x{169}\x{1A0}\x{1A1}\x{1AF}\x{1B0}\x{1EA0}-\x{1EF9}"
 _RUN = r"[\p{L}\p{M}\p{Cf}]"
@@ -80,8 +92,13 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^ \n\r\t]+|[ \n\r\t]+"), F.lit(0))
 
 
+def _changes(text: Column) -> Column:
+    """Whether a text holds a character that some mapping changes: one table look-up a character, where a class of many ranges tries each."""
+    return F.length(F.translate(text, CHANGING, "")) < F.length(text)
+
+
 def _suspects(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, r"[ \n\r\t]+"), lambda t: F.regexp_like(t, F.lit(f"[{CHANGING}]"))))
+    return F.array_distinct(F.filter(F.split(text, r"[ \n\r\t]+"), lambda t: _changes(t)))
 
 
 def dictionary(pieces: DataFrame) -> DataFrame:
@@ -102,7 +119,7 @@ def dictionary(pieces: DataFrame) -> DataFrame:
     )
     kinds = points.where("kind is not null").groupBy("piece").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     subs = points.select("piece", "u", "p", F.posexplode(F.coalesce("parts", F.array("letter"))).alias("k", "c"))
-    classes = [(chr(cp), unicodedata.combining(chr(cp))) for cp in range(0x300, 0x370) if unicodedata.combining(chr(cp))]
+    classes = [(chr(cp), unicodedata.combining(chr(cp))) for low, high in _MARKS for cp in range(low, high) if unicodedata.combining(chr(cp))]
     subs = subs.join(F.broadcast(spark.createDataFrame(classes, "c string, ccc int")), "c", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
     order = Window.partitionBy("piece").orderBy("u", "p", "k").rowsBetween(Window.unboundedPreceding, 0)
     subs = subs.withColumn("seg", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order))
@@ -125,7 +142,7 @@ def _by_pairs(chars: Column) -> Column:
         two = unicodedata.normalize("NFC", whole[:-1]) + whole[-1]
         if len(two) == 2:
             pairs[two] = ch
-    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")  # folded to one constant
 
     def step(state: Column, x: Column) -> Column:
         joined = F.when(state["last"] != x["ccc"], F.try_element_at(table, F.concat(state["letter"], x["c"])))
@@ -140,7 +157,7 @@ def _by_pairs(chars: Column) -> Column:
 
 def changes(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
     """(key..., map, kinds) of the texts with other forms: what each of their pieces becomes, and the kinds they hold."""
-    held = texts.where(F.regexp_like(F.col(text_col), F.lit(f"[{CHANGING}]"))).select(*key, F.explode(_suspects(F.col(text_col))).alias("piece")).distinct()
+    held = texts.where(_changes(F.col(text_col))).select(*key, F.explode(_suspects(F.col(text_col))).alias("piece")).distinct()
     held = stage(held)
     known = stage(dictionary(held.select("piece").distinct()))
     known = known.where("fixed <> piece or size(kinds) > 0")
@@ -177,11 +194,10 @@ def texts(results: DataFrame, comparison: DataFrame) -> DataFrame:
 
 
 def found_sql() -> str:
-    """The rule of ``found`` as one regular expression."""
-    look = "".join(f"\\x{{{ord(c):X}}}" for c in LOOK_ALIKE)
-    other = "".join(f"\\x{{{cp:X}}}" for cp in sorted({ord(p[0]) for p in PARTS if p[2] in ("full_width", "space", "invisible")}))
-    pattern = f"[{other}\\x{{300}}-\\x{{36F}}]|[{_LATIN}]{_RUN}*[{look}]|[{look}]{_RUN}*[{_LATIN}]"
-    pattern = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\x{{{int(m[1], 16):04X}}}", pattern)
+    """The definition of the cases by Unicode's own properties and scripts, without this module's tables."""
+    run, latin = r"[\p{L}\p{M}\p{Cf}]*", r"[A-Za-z\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{C0}-\x{CF}\x{D1}-\x{D6}\x{D9}-\x{DD}\x{E0}-\x{EF}\x{F1}-\x{F6}\x{F9}-\x{FD}\x{102}\x{103}\x{110}\x{111}\x{128}\x{129}\x{168}\x{169}\x{1A0}\x{1A1}\x{1AF}\x{1B0}\x{1EA0}-\x{1EF9}]"
+    other = r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\x{D0}\x{F0}\x{131}\x{180}-\x{19F}\x{1A2}-\x{1AE}\x{1B1}-\x{24F}\p{Nl}\x{250}-\x{2AF}\x{1D00}-\x{1D2B}\x{A731}\x{1D400}-\x{1D7FF}]"
+    pattern = r"[\p{Cf}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FE00}-\x{FE0F}\x{FF01}-\x{FF5E}\x{FFE0}-\x{FFE6}\x{300}-\x{36F}]" + f"|{latin}{run}{other}|{other}{run}{latin}"
     return (
         f"SELECT DISTINCT 'ocr_results' AS table_name, id AS row_key FROM ocr_results WHERE regexp_matches(corrected_text, '{pattern}') "
         f"UNION SELECT DISTINCT 'ocr_comparison', image FROM ocr_comparison WHERE regexp_matches(ground_truth, '{pattern}')"

@@ -3,12 +3,13 @@
 Every distinct normalised evaluation line is cut into ``edits + 1`` runs of words; a training line that equals it up to
 ``edits`` inserted, removed or replaced words holds one of the runs unbroken, within ``edits`` places of where it stands
 in the evaluation line. The runs are sharded; each shard's automaton scans the training lines routed to it, and a hit is
-confirmed by a banded word edit distance. A line is routed by word pairs: each run is known by one of its pairs (the one
-of smallest hash), and a training line goes to the shards of those of its pairs that some run is known by. Nothing
+confirmed by a banded word edit distance. A line is routed by word pairs: each run is known by one of its pairs (its
+rarest among all runs), and a training line goes to the shards of those of its pairs that some run is known by. Nothing
 is lost by this, and a line goes to no more shards than it has words, however many shards there are.
 
-Shards grow in number with the evaluation lines and are salted by the number of lines routed to each, so no task holds
-more than a bounded number of either. Equal lines are scanned once.
+Shards grow in number with the evaluation lines; an anchor that more than ``PIECES`` runs share is cut into parts of
+about that size, and every part is salted by the number of lines routed to it, so no task holds more than a bounded
+number of either. Equal lines are scanned once.
 
 Cases: null and empty texts, and texts without a letter or digit, are no cases; rows whose split is null are in no
 split; repeated rows count once; empty tables give empty results; columns beyond the named ones are ignored.
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from scrivan.llm.words import words
 from scrivan.runtime import parallelism, stage
 
-#: Runs per automaton, and training lines scanned by one task.
-PIECES, LINES = 40_000, 100_000
+#: Runs per automaton, training lines scanned by one task, and anchors that are broadcast (8 bytes each).
+PIECES, LINES, MOST_ANCHORS = 40_000, 100_000, 1_000_000
 
 
 @F.pandas_udf(T.StringType())
@@ -121,24 +122,33 @@ def overlapping(rows: DataFrame, edits: int = 2, least: int = 8, evaluated: tupl
 
     runs = normed.where("e = 1").select("norm", F.explode(cut("norm")).alias("p")).select("norm", "p.start", "p.stop")
     runs = _anchored(runs.withColumn("run", F.array_join(F.slice(F.split("norm", " "), F.col("start") + 1, F.col("stop") - F.col("start")), " ")), "run")
-    runs = stage(runs.select("norm", "start", "stop", F.array_min("pairs").alias("anchor")))
+    runs = stage(runs.select("norm", "start", "stop", F.array_distinct("pairs").alias("pairs")))
+    # each run is known by its rarest pair, so that a pair that many runs hold is the anchor of those only that have no other
+    held = runs.select("norm", "start", F.explode("pairs").alias("pair"))
+    rarest = held.join(held.groupBy("pair").agg(F.count(F.lit(1)).alias("c")), "pair").groupBy("norm", "start").agg(F.min(F.struct("c", "pair")).alias("m"))
+    runs = stage(runs.join(rarest, ["norm", "start"]).select("norm", "start", "stop", F.col("m.pair").alias("anchor")))
     n_runs = runs.count()
     shards = max(1, -(-n_runs // PIECES))
-    runs = runs.withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int"))
-    known = runs.select("anchor", "shard").distinct()
+    # an anchor of more runs than an automaton holds is cut into parts of that size, each of which its lines visit
+    known = stage(runs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PIECES).cast("int").alias("parts")).withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int")))
+    runs = runs.join(known, "anchor").select("norm", "start", "stop", "shard", F.pmod(F.xxhash64("norm", "start"), F.col("parts")).cast("int").alias("part"))
     lines = _anchored(normed.where("t = 1").select(F.col("norm").alias("line")), "line")
-    single = lines.select("line", F.explode(F.array_distinct("pairs")).alias("anchor"))
-    alone = lines.select("line", F.explode(F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x, F.lit(""))))).alias("anchor"))
+    pairs = F.col("pairs")
     # a run of one word is known by that word: then lines are routed by their words too
-    lone = runs.where("stop - start = 1").isEmpty()
-    keys = single if lone else single.unionByName(alone)
-    routed = stage(keys.join(known, "anchor").select("line", "shard").distinct())
-    load = routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    spread = max(1, -(-parallelism(spark) // shards))
-    load = load.select("shard", F.greatest(F.ceil(F.col("n") / LINES), F.least(F.lit(spread), F.ceil(F.col("n") / 1000))).cast("int").alias("salts"))
-    left = runs.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("norm", "start", "stop", "shard", "salt")
-    right = routed.join(load, "shard").select("line", "shard", F.pmod(F.xxhash64("line"), F.col("salts")).cast("int").alias("salt"))
-    hits = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(
+    if not runs.where("stop - start = 1").isEmpty():
+        pairs = F.concat(pairs, F.transform(F.split("line", " "), lambda x: F.xxhash64(x, F.lit(""))))
+    keys = lines.select("line", F.explode(F.array_distinct(pairs)).alias("anchor"))
+    # beside few anchors the lines stay where they are; more of them are joined by shuffles, with the same result
+    near = F.broadcast(known) if known.count() <= MOST_ANCHORS else known
+    visits = keys.join(near, "anchor").select("line", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    routed = stage(visits.distinct())
+    load = routed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    cells = load.count()
+    spread = max(1, -(-parallelism(spark) // max(1, cells)))
+    load = load.select("shard", "part", F.greatest(F.ceil(F.col("n") / LINES), F.least(F.lit(spread), F.ceil(F.col("n") / 1000))).cast("int").alias("salts"))
+    left = runs.join(load, ["shard", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("norm", "start", "stop", "shard", "part", "salt")
+    right = routed.join(load, ["shard", "part"]).select("line", "shard", "part", F.pmod(F.xxhash64("line"), F.col("salts")).cast("int").alias("salt"))
+    hits = left.groupBy("shard", "part", "salt").cogroup(right.groupBy("shard", "part", "salt")).applyInPandas(
         lambda a, b: _scan(edits, least)(a, b), "norm string, start int, stop int"
     )
     return hits.distinct()
