@@ -33,6 +33,28 @@ def test_values_and_placeholders(spark):
     assert pii.found(df.limit(0)).count() == 0
 
 
+def test_forms_that_no_pattern_of_the_labeller_has():
+    cases = {
+        "Liên hệ qua thư x@truong.info hoặc an@khoa.io để biết thêm.": {("email", "x@truong.info"), ("email", "an@khoa.io")},
+        "Em cư trú tại 12 Nguyễn Trãi, Đà Lạt, Lâm Đồng từ năm 2020.": {("address", "12 Nguyễn Trãi, Đà Lạt, Lâm Đồng")},
+        "Địa chỉ: Số 5, ngách 3/2, đường Lê Lợi, Phường 4, Thành phố Đà Lạt.": {("address", "Số 5, ngách 3/2, đường Lê Lợi, Phường 4, Thành phố Đà Lạt")},
+        "Call +44 20 7946 0958 for details.": {("phone", "+44 20 7946 0958")},
+        "Em tên là Tôn Nữ Hoàng Thị Ngọc Lan, sinh viên.": {("person_name", "Tôn Nữ Hoàng Thị Ngọc Lan")},
+        "We met in Baker Street near the station.": set(),
+        "Mã giao dịch: 76658777629070, số tiền 1.250.000 đồng, năm học 2024-2025.": set(),
+    }
+    got = pii.find(pii.Model.load(), list(cases))
+    assert [{(k, t[a:b]) for k, a, b in spans} for t, spans in zip(cases, got)] == list(cases.values())
+
+
+def test_made_values_keep_their_labels():
+    rng = np.random.default_rng(5)
+    maker = pii_train.Maker(rng, {})
+    spans = pii_train.label(LETTER, {"nguyễn", "ksor"})
+    text, moved = maker.changed(LETTER, spans, 1.0)
+    assert len(moved) == len(spans) and all(text[a:b].strip() and text[a - 1] != text[a] for _, a, b in moved)
+
+
 def test_viterbi_and_crf_equal_enumeration():
     rng = np.random.default_rng(3)
     scores, trans = rng.normal(size=(2, 4, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
