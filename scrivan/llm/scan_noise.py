@@ -5,12 +5,13 @@
   frequent words whose hash differs by the shift of one or two confusions, and a candidate stays if the confusions turn
   the one into the other. The most frequent variant wins, if it is ``RATIO`` times as frequent.
 * Edge lines: a line whose letters are those of a line that often opens a text is a header, and a running one if the
-  text has it twice or more; page numbers are lines of a page-number shape, or a number at the end of a running header.
+  text has it twice or more; so is any line that opens two pages of a text, whatever other texts hold; page numbers are lines of a page-number shape, or a number at the end of a running header.
 * A line end with a mark is a broken word if the halves together are a known word, or if a half alone is none; page
   furniture between the halves is stepped over.
 
-The corrections found are variants of frequent words only: frequent words are at most 1 / ``SHARE`` in number, and the
-size of the table is checked before it is broadcast.
+Nothing depends on the size of the collection: a word is trusted when it stands ``LEAST`` times and is no variant of one
+``RATIO`` times as frequent. The tables are broadcast where their checked size allows; beyond it each block of texts is
+joined with the words it looks up, with the same result.
 
 Cases: null texts give no row, empty ones an empty text and no noise; repeated rows count once; ties between variants
 fall to the smaller word; empty tables give empty results; texts of any length are handled whole; other columns are
@@ -42,11 +43,15 @@ CONFUSIONS = [
 #: Those that only drop or change an accent: no evidence inside a name.
 SOFT = {("đ", "d"), ("ư", "u"), ("ả", "à"), ("ậ", "ạ"), ("ọ", "o"), ("ă", "â"), ("ế", "é"), ("ấ", "á"), ("ữ", "ũ"), ("ố", "ó"), ("ộ", "ọ"), ("ợ", "ọ"), ("ề", "è")}
 PRIME = 2**61 - 1
-SHARE, LEAST, RATIO, MOST_CORRECTIONS = 2e-6, 20, 12, 3_000_000
+#: Times a trusted word stands in the texts at least, and how much more often than its misread form.
+LEAST, RATIO = 20, 12
+#: Words (corrections and trusted ones) that are broadcast; of more, each block of ``BLOCK`` texts gets its own by a join.
+MOST_WORDS, BLOCK = 2_000_000, 2_000
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"([^\W\d_]+)(-|¬|­|‐|‑)[ \t]*$")
 _NUMBER_LINE = re.compile(r"(?i)^\W*(?:(?:trang|page|tr\.?|p\.)\s*\d{1,4}(?:\s*(?:/|of|trên)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4}|[-–—~\[(]\s*\d{1,4}\s*[-–—~\])]|\d{1,4})\W*$")
+_END_NUMBER = re.compile(r"^\W*\d{1,4}(?=\s)|(?<=\s)\d{1,4}(?=\W*$)")
 _PLAIN_NUMBER = re.compile(r"^\s*\d{1,4}\s*$")
 _DIGITS = re.compile(r"(?<![^\W_])(?=[\dlIOoSBZ]*\d[\dlIOoSBZ]*[lIOoSBZ]|[\dlIOoSBZ]*[lIOoSBZ][\dlIOoSBZ]*\d)[\dlIOoSBZ]{3,}(?![^\W_])")
 _MIXED = re.compile(r"\d[lIOoSBZ]|[lIOoSBZ]\d")
@@ -109,8 +114,9 @@ def counts(texts: DataFrame) -> DataFrame:
                 seen.update(_WORD.findall(body.lower()))
                 top = True
                 for line in body.split("\n"):
-                    if not (top or len(line) < 40) or not line.strip():
-                        top = top and not line.strip()
+                    bare = line.strip()
+                    if not bare or not (top or len(bare) < 40):
+                        top = top and not bare
                         continue
                     if top and line.rstrip()[-1] not in ".;,!?" and len(key := line_key(line)) >= 8:
                         lines[key] += 1
@@ -131,12 +137,11 @@ def _explained(frequent: pd.Series, rare: pd.Series, what: pd.Series) -> pd.Seri
     return pd.Series([b in applied(a, [CONFUSIONS[k] for k in w]) or b in applied(a, [CONFUSIONS[k] for k in reversed(w)]) for a, b, w in zip(frequent, rare, what)])
 
 
-def corrections(counted: DataFrame, total: int) -> DataFrame:
+def corrections(counted: DataFrame) -> DataFrame:
     """(rare, word, soft, ratio): rare words that are a frequent one misread, with the most frequent such word."""
     spark = counted.sparkSession
     tokens = counted.where("kind = 'w'").select("token", "n", _hash("token").alias("h"))
-    least = max(LEAST, int(total * SHARE))
-    frequent = tokens.where(F.col("n") >= least).where(~F.regexp_like("token", F.lit(r"\d"))).where(F.length("token") > 1).toDF("word", "m", "hw")
+    frequent = tokens.where(F.col("n") >= LEAST).where(~F.regexp_like("token", F.lit(r"\d"))).where(F.length("token") > 1).toDF("word", "m", "hw")
     shifts = spark.createDataFrame(_shifts())
     each = F.explode(F.lit([int(x) for x in sorted(set(_shifts()["shift"]))]).cast("array<bigint>"))  # a fixed few shifts a word
     moved = tokens.where(F.length("token") > 1).withColumn("shift", each).withColumn("hw", F.pmod(F.col("h") - F.col("shift"), F.lit(PRIME)))
@@ -167,17 +172,46 @@ class Repair:
                 return best[1]
         return -1
 
+    @staticmethod
+    def own_headers(lines: list[str], keys: list[str], tops: list[int]) -> set[int]:
+        """Lines of a header that only this text has: one that opens a page twice or more, perhaps misread a little, or that stands with a number of its own each time."""
+        out: set[int] = set()
+        if tops and keys.count(keys[tops[0]]) > 1:
+            same = [j for j, k in enumerate(keys) if k == keys[tops[0]]]
+            numbers = [m.group() for j in same if (m := _END_NUMBER.search(lines[j]))]
+            if len(numbers) == len(same) == len(set(numbers)):
+                out |= set(same)
+        if len(tops) < 2:
+            return out
+        grams = {i: {keys[i][j : j + 2] for j in range(len(keys[i]) - 1)} for i in tops}
+        for i in tops:
+            alike = [j for j in tops if j != i and (keys[i] == keys[j] or len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j]))]
+            if alike and i not in out:
+                out |= {i, *alike}
+                out |= {j for j, k in enumerate(keys) if k and k == keys[i]}
+        return out
+
     def furniture(self, lines: list[str]) -> tuple[set[int], set[int], set[int]]:
         """Lines that are running headers, page numbers, and running headers with a page number."""
-        keys = [line_key(x) if 8 <= len(x) <= self.longest and x.rstrip()[-1:] not in ".;,!?" else "" for x in lines]
+        pages = {i for i, x in enumerate(lines) if x and (len(x) < 40 or len(x.strip()) < 40) and _NUMBER_LINE.match(x)}
+        tops, top = [], True
+        for i, x in enumerate(lines):
+            if i in pages:
+                top = True
+            elif top and x.strip():
+                tops.append(i)
+                top = False
+        sizes = {len(lines[i].strip()) for i in tops}
+        low, high = min(sizes, default=0) - 8, max(sizes, default=0) + 8
+        keys = [line_key(x) if 8 <= len(x) and (len(x) <= self.longest or low <= len(x) <= high) and x.rstrip()[-1:] not in ".;,!?" else "" for x in lines]
         of = {i: h for i, k in enumerate(keys) if k and (h := self.header_of(k)) >= 0}
         often = Counter(of.values())
         running = {i for i, h in of.items() if often[h] > 1}
+        running |= self.own_headers(lines, keys, [i for i in tops if len(keys[i]) >= 8 and i not in running])
         numbered = set()
         ends = {i: m for i in running if (m := re.search(r"(?:^\W*(\d{1,4})\s)|(?:\s(\d{1,4})\W*$)", lines[i]))}
         if len({m.group(0).strip() for m in ends.values()}) > 1 or (ends and len(ends) == len(running)):
             numbered = set(ends)
-        pages = {i for i, x in enumerate(lines) if len(x) < 40 and _NUMBER_LINE.match(x)}
         plain = [i for i in pages if _PLAIN_NUMBER.match(lines[i])]
         if plain:
             values = [int(lines[i]) for i in plain]
@@ -277,22 +311,57 @@ def paragraphs(text: str) -> str:
     return "\n".join(" ".join(x.split()) for x in out)
 
 
+def _needed(body: str) -> set[str]:
+    """The words that the repair of a text looks up: its own, and what line ends may join."""
+    body = usual(body).lower()
+    out = set(_WORD.findall(body))
+    lines = body.split("\n")
+    for i, line in enumerate(lines):
+        if line.rstrip(" \t")[-1:] in _HYPHENS and (m := _BREAK.search(line)):
+            out |= {m.group(1) + t.group(1) for x in lines[i + 1 : i + 9] if (t := re.match(r"\s*([^\W\d_]+)", x))}
+    return out
+
+
+def _in_blocks(texts: DataFrame, fixes: DataFrame, known: DataFrame, headers: list[str], schema: str) -> DataFrame:
+    """The repair where the words are too many to broadcast: each block of texts meets the words it looks up. Same result."""
+    blocks = max(1, -(-texts.count() // BLOCK))
+    placed = texts.withColumn("block", F.pmod(F.xxhash64("ocr_id", "field_name"), F.lit(blocks)))
+
+    def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            seen = {(block, w) for block, body in zip(frame.block, frame.body) for w in _needed(body)}
+            yield pd.DataFrame(list(seen), columns=["block", "token"])
+
+    asked = placed.select("block", "body").mapInPandas(words_of, "block bigint, token string").distinct()
+    told = asked.join(fixes.withColumnRenamed("rare", "token"), "token", "left").join(known.withColumn("known", F.lit(True)), "token", "left").where("word is not null or known")
+
+    def run(key: tuple, frame: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        wrong = mine[mine.word.notna()]
+        table = {t: (w, bool(x), r) for t, w, x, r in zip(wrong.token, wrong.word, wrong.soft, wrong.ratio)}
+        repair = Repair(table, set(mine.token[mine.known.notna()]) - set(table), headers)
+        done = [repair.run(body) for body in frame.body]
+        return pd.DataFrame({"ocr_id": frame.ocr_id, "field_name": frame.field_name, "text": [t for t, _ in done], "kinds": [sorted(k) for _, k in done]})
+
+    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, schema)
+
+
 def repaired(results: DataFrame) -> DataFrame:
     """(ocr_id, field_name, text, kinds) of every text."""
     spark = results.sparkSession
     texts = texts_of(results)
     counted = stage(counts(texts))
-    total = counted.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
-    fixes = stage(corrections(counted, total))
-    if fixes.count() > MOST_CORRECTIONS:
-        raise ValueError("more misread words than may be broadcast; raise SHARE")
-    table = {r.rare: (r.word, r.soft, r.ratio) for r in fixes.toLocalIterator()}
-    least = max(LEAST, int(total * SHARE))
-    known = {r.token for r in counted.where((F.col("kind") == "w") & (F.col("n") >= least)).select("token").toLocalIterator()} - set(table)  # at most 1 / SHARE
-    n_texts = counted.where("kind = 'h'").agg(F.sum("n")).first()[0] or 0
-    tops = counted.where("kind = 'h'").where(F.col("n") >= max(5, n_texts * 0.002)).orderBy(F.desc("n"), "token")  # at most 500 lines have such a share
+    fixes = stage(corrections(counted))
+    known = counted.where((F.col("kind") == "w") & (F.col("n") >= LEAST)).select("token")
+    n_tops = counted.where("kind = 'h'").agg(F.sum("n")).first()[0] or 0
+    # headers that texts share, which tell a misread one in a text of few pages; at most 500 lines have such a share
+    tops = counted.where("kind = 'h'").where(F.col("n") >= max(5, n_tops * 0.002)).orderBy(F.desc("n"), "token")
     headers: list[str] = [r.token for r in tops.select("token").collect()]
-    tool = spark.sparkContext.broadcast(Repair(table, known, headers))
+    schema = "ocr_id string, field_name string, text string, kinds array<string>"
+    if fixes.count() + known.count() > MOST_WORDS:
+        return _in_blocks(texts, fixes, known, headers, schema)
+    table = {r.rare: (r.word, r.soft, r.ratio) for r in fixes.toLocalIterator()}
+    trusted = {r.token for r in known.toLocalIterator()} - set(table)
+    tool = spark.sparkContext.broadcast(Repair(table, trusted, headers))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = tool.value
@@ -300,7 +369,7 @@ def repaired(results: DataFrame) -> DataFrame:
             done = [repair.run(body) for body in frame.body]
             yield pd.DataFrame({"ocr_id": frame.ocr_id, "field_name": frame.field_name, "text": [t for t, _ in done], "kinds": [sorted(k) for _, k in done]})
 
-    return texts.mapInPandas(run, "ocr_id string, field_name string, text string, kinds array<string>")
+    return texts.mapInPandas(run, schema)
 
 
 def found(results: DataFrame) -> DataFrame:

@@ -66,6 +66,24 @@ def test_found_and_repaired(spark, results, monkeypatch):
     assert sn.found(df.limit(0)).count() == 0
 
 
+def test_blocks_give_the_same(spark, results, monkeypatch):
+    monkeypatch.setattr(sn, "LEAST", 5)
+    df = spark.createDataFrame(results, "id string, raw_text string, corrected_text string, text string")
+    want = {(r.ocr_id, r.field_name, r.text, tuple(r.kinds)) for r in sn.repaired(df).collect()}
+    monkeypatch.setattr(sn, "MOST_WORDS", 0)
+    monkeypatch.setattr(sn, "BLOCK", 7)
+    assert {(r.ocr_id, r.field_name, r.text, tuple(r.kinds)) for r in sn.repaired(df).collect()} == want
+
+
+def test_a_header_of_one_text_alone():
+    repair = sn.Repair({}, set(), [])
+    pages = "Xí nghiệp Dệt may Hòa Bình\nDòng thứ nhất của trang\n- 1 -\nXí nghiệp Dệt may Hoà Bìnli\nDòng thứ hai của trang\n- 2 -\nXí nghiệp Dệt may Hòa Bình\nhết"
+    text, kinds = repair.run(pages)
+    assert kinds == {"running_header", "page_number"} and "Xí nghiệp" not in text
+    assert repair.run("Báo cáo tuần   1\nnội dung một\nBáo cáo tuần   2\nnội dung hai")[1] == {"running_header", "page_number"}
+    assert repair.run("Xí nghiệp Dệt may\nmột\nhai\nXí nghiệp Dệt may\nba")[1] == set()
+
+
 def test_anagram_join_finds_every_variant(spark):
     rng = random.Random(3)
     frequent = ["phòng", "khoa", "thông", "viên", "trình", "đồng", "hoàn", "những"]
@@ -75,7 +93,7 @@ def test_anagram_join_finds_every_variant(spark):
             what = rng.sample(sn.CONFUSIONS, rng.choice([1, 2]))
             rare.update({v: w for v in sn.applied(w, what) if v not in frequent})
     rows = [("w", w, 10_000) for w in frequent] + [("w", v, 3) for v in rare] + [("w", "88", 3), ("h", "x", 1)]
-    got = {r.rare: r.word for r in sn.corrections(spark.createDataFrame(rows, "kind string, token string, n bigint"), 80_000).collect()}
+    got = {r.rare: r.word for r in sn.corrections(spark.createDataFrame(rows, "kind string, token string, n bigint")).collect()}
     assert got == rare
 
 
