@@ -9,8 +9,9 @@ Distances of unrelated texts crowd around one value, so a tree over everything w
 therefore per shard: a shard holds the sets with one band of MinHashes in common, and the number of bands follows from
 the collision curve for the wanted recall right at the threshold. The shard's task builds its tree and follows the edges
 within the radius; shipping every tree to every executor, as the words "broadcast shard trees" suggest, would send all
-fingerprints everywhere, so a tree stays where its shard is. Shards above ``SHARD`` sets are cut into trees of that
-size, each of which all sets of the shard query.
+fingerprints everywhere, so a tree stays where its shard is. Shards above ``SHARD`` sets are cut by set size into cells
+of which only neighbours can hold similar sets, and cells above that into trees of that size, which all sets of the cell
+and of the next one query; no task holds more than one tree.
 
 Equal sets form a class before anything else; a class is searched once, so groups of copies cost one search.
 
@@ -149,19 +150,25 @@ def class_pairs(rows: DataFrame, sets: DataFrame, id_col: str, text_col: str, sh
     copies = sets.groupBy("sid").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sid", "first")
     spare = stage(sets.select("row", "sid").join(copies, "sid").where("row <> first").select("row"))
     one = sets.join(spare, "row", "left_anti")
-    keyed = one.select("sid", F.explode("keys").alias("key")).repartition("key")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / SHARD).cast("int").alias("trees"))
-    placed = keyed.join(sizes.hint("shuffle_hash"), "key").withColumn("home", F.pmod(F.xxhash64("sid"), F.col("trees")).cast("int"))
-    placed = placed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1))).withColumn("guest", F.col("tree") != F.col("home"))
-    ready = placed.select("key", "tree", "guest", "sid").join(one.select("sid", "n", "sig"), "sid")
+    keyed = one.select("sid", "n", F.explode("keys").alias("key")).repartition("key")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    cold = keyed.join(sizes.where(F.col("c") <= SHARD).hint("shuffle_hash"), "key").select("key", F.lit(0).alias("cell"), F.lit(0).alias("tree"), F.lit(False).alias("guest"), "sid")
+    # a hot shard is cut by set size: sets of the wanted similarity lie in one cell or in neighbouring ones, and the larger visits the smaller
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("int")
+    hot = stage(keyed.join(sizes.where(F.col("c") > SHARD).select("key"), "key").select("key", own.alias("own"), "sid"))
+    trees = hot.groupBy("key", F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("trees"))
+    visits = hot.withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") - 1))).join(trees, ["key", "cell"])
+    visits = visits.withColumn("home", F.pmod(F.xxhash64("sid"), F.col("trees")).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    placed = cold.unionByName(visits.select("key", "cell", "tree", ((F.col("cell") != F.col("own")) | (F.col("tree") != F.col("home"))).alias("guest"), "sid"))
+    ready = placed.join(one.select("sid", "n", "sig"), "sid")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, tree = None, BKTree()
         for frame in frames:
             out: set[tuple[int, int]] = set()
-            for key, shard, guest, sid, n, sig in zip(frame.key, frame.tree, frame.guest, frame.sid, frame.n, frame.sig):
-                if (key, shard) != at:
-                    at, tree = (key, shard), BKTree()
+            for key, cell, shard, guest, sid, n, sig in zip(frame.key, frame.cell, frame.tree, frame.guest, frame.sid, frame.n, frame.sig):
+                if (key, cell, shard) != at:
+                    at, tree = (key, cell, shard), BKTree()
                 number = int.from_bytes(sig, "little")
                 for other in tree.within(number, n, p / q):
                     if other != sid:
@@ -170,7 +177,7 @@ def class_pairs(rows: DataFrame, sets: DataFrame, id_col: str, text_col: str, sh
                     tree.add(number, n, sid)
             yield pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
 
-    found = ready.repartition("key", "tree").sortWithinPartitions("key", "tree", "guest").mapInPandas(search, "a bigint, b bigint").distinct()
+    found = ready.repartition("key", "cell", "tree").sortWithinPartitions("key", "cell", "tree", "guest").mapInPandas(search, "a bigint, b bigint").distinct()
     met = stage(found)
     # the sets of the classes concerned, read again from one text of each
     ids = met.select(F.col("a").alias("sid")).unionByName(met.select(F.col("b").alias("sid"))).distinct().join(one.select("sid", "id"), "sid").select("id").distinct()
