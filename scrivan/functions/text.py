@@ -46,14 +46,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 0.0).otherwise(both / either)
 
 
+#: What stands behind stars in a search, in this order: numbers of 12 and 9 digits, mobile numbers, names of mail addresses, account numbers.
+MASKS = (
+    (r"\b(\d{3})\d{6}(\d{3})\b", r"$1******$2"),
+    (r"\b(\d{3})\d{3}(\d{3})\b", r"$1***$2"),
+    (r"\b(0[35789]\d)\d{4}(\d{3})\b", r"$1****$2"),
+    (r"\b([A-Za-z0-9])[A-Za-z0-9._%+\-]*@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})", r"$1***@$2"),
+    (r"(STK|stk|tài khoản)(\W{0,3})(\d{4})\d{2,10}(\d{2})\b", r"$1$2$3****$4"),
+)
+
+
 def mask_pii(col: Column) -> Column:
-    """Numbers of 12 and 9 digits, mobile numbers, e-mail names and account numbers behind stars, in this order."""
-    for pattern, to in (
-        (r"\b(\d{3})\d{6}(\d{3})\b", r"$1******$2"),
-        (r"\b(\d{3})\d{3}(\d{3})\b", r"$1***$2"),
-        (r"\b(0[35789]\d)\d{4}(\d{3})\b", r"$1****$2"),
-        (r"\b([A-Za-z0-9])[A-Za-z0-9._%+\-]*@", r"$1***@"),
-    ):
+    """A text as it is shown to those who may not see numbers and addresses whole."""
+    for pattern, to in MASKS:
         col = F.regexp_replace(col, pattern, to)
     return col
 
@@ -77,7 +82,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the same names: fold_text, word_tokens, mask_pii, mask_name, text_quality."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fold_text(x STRING) RETURNS STRING RETURN trim(lower(regexp_replace(translate(x, '{_SRC}', '{_DST}'), r'\\p{{Mn}}', '')))")
-    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION word_tokens(x STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(fold_text(x), r'[\p{L}\p{N}_]+', 0)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mask_name(x STRING) RETURNS STRING RETURN array_join(transform(split(trim(x), r'\\s+'), w -> concat(substring(w, 1, 1), '***')), ' ')")
+    """SQL functions: fold_text, word_tokens, mask_pii, mask_name, text_quality."""
+    make = lambda name, kind, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
+    make("fold_text", "STRING", f"trim(lower(regexp_replace(translate(x, '{_SRC}', '{_DST}'), r'\\p{{Mn}}', '')))")
+    make("word_tokens", "ARRAY<STRING>", r"regexp_extract_all(fold_text(x), r'[\p{L}\p{N}_]+', 0)")
+    make("mask_name", "STRING", r"array_join(transform(split(trim(x), r'\s+'), w -> concat(substring(w, 1, 1), '***')), ' ')")
+    masked = "x"
+    for pattern, to in MASKS:
+        masked = f"regexp_replace({masked}, r'{pattern}', '{to}')"
+    make("mask_pii", "STRING", masked)
+    odd, runs = r"regexp_count(x, r'[^\p{L}\p{N}\s.,;:!?()\-/]')", r"regexp_count(x, r'\d{5,}')"
+    make("text_quality", "DOUBLE", f"CASE WHEN length(x) < 10 THEN 0.6D ELSE least(1.0D, greatest(0.0D, 0.92D - least(0.15D, 5.0D * {odd} / length(x)) - least(0.05D, 0.01D * {runs}))) END")

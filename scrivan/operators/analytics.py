@@ -10,6 +10,7 @@ from scrivan.operators.index import SQL as IDX
 from scrivan.operators.index import doc_index, records, sql_fold, sql_tokens
 from scrivan.operators.relational import AS_OF
 from scrivan.operators.search import _BM25_SQL, bm25, query_terms, search_docs, top
+from scrivan.operators.textops import edits_sql
 from scrivan.sources.tables import load
 
 N = F.count
@@ -17,12 +18,11 @@ N = F.count
 
 def facets(spark: SparkSession, d: str) -> DataFrame:
     """(facet, value, n): category, status, year and file type in one pass of grouping sets."""
-    doc_index(spark, d).select("category_code", "ocr_status", F.year("created_at").alias("y"), "file_type").createOrReplaceTempView("scrivan_facets")
-    return spark.sql(
-        """SELECT CASE grouping_id() WHEN 7 THEN 'category' WHEN 11 THEN 'status' WHEN 13 THEN 'year' ELSE 'type' END AS facet,
-        coalesce(category_code, ocr_status, cast(y AS string), file_type) AS value, count(*) AS n
-        FROM scrivan_facets GROUP BY GROUPING SETS ((category_code), (ocr_status), (y), (file_type))"""
-    )
+    i = doc_index(spark, d).select("category_code", "ocr_status", F.year("created_at").cast("string").alias("y"), "file_type")
+    names = {"category": "category_code", "status": "ocr_status", "year": "y", "type": "file_type"}
+    g = i.groupingSets([[c] for c in names.values()], *names.values()).agg(N(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"g_{c}") for c in names.values()])
+    facet = F.coalesce(*[F.when(F.col(f"g_{c}") == 0, F.lit(n)) for n, c in names.items()])
+    return g.select(facet.alias("facet"), F.coalesce(*names.values()).alias("value"), "n")
 
 
 FACETS_SQL = f"WITH {IDX} SELECT CASE WHEN grouping(category_code) = 0 THEN 'category' WHEN grouping(ocr_status) = 0 THEN 'status' WHEN grouping(y) = 0 THEN 'year' ELSE 'type' END AS facet, coalesce(category_code, ocr_status, y::VARCHAR, file_type) AS value, count(*) AS n FROM (SELECT category_code, ocr_status, year(created_at) AS y, file_type FROM idx) GROUP BY GROUPING SETS ((category_code), (ocr_status), (y), (file_type))"
@@ -193,22 +193,18 @@ CLASS_SQL = f"WITH c AS ({CONFUSION_SQL}), s AS (SELECT truth AS label, sum(n) A
 
 
 def recognition_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Micro and macro character error of two engines on folded lines, with shares of exact, better and worse lines."""
-    c = load(spark, d, "ocr_comparison").dropDuplicates(["image"]).select(*[fold(F.regexp_replace(x, r"[^\x00-\x{24F}\x{1E00}-\x{1EFF}]", "")).alias(x) for x in ("ground_truth", "pred_a", "pred_b")])
-    c = c.withColumns({x: F.regexp_replace(x, r"[^\x20-\x7E]", "") for x in ("ground_truth", "pred_a", "pred_b")}).withColumn("n", F.length("ground_truth"))
+    """Micro and macro character error of two engines on the lines as they are, with shares of exact, better and worse lines."""
+    c = load(spark, d, "ocr_comparison").dropDuplicates(["image"]).withColumn("n", F.length("ground_truth"))
     c = c.withColumns({f"e{x}": F.levenshtein("ground_truth", f"pred_{x}") for x in "ab"}).where("n > 0")
     return c.agg(
         *[F.round(100 * F.sum(f"e{x}") / F.sum("n"), 4).alias(f"micro_{x}") for x in "ab"], *[F.round(100 * F.avg(F.col(f"e{x}") / F.col("n")), 4).alias(f"macro_{x}") for x in "ab"],
-        F.count_if(F.col("ea") == 0).alias("exact_a"), F.count_if(F.col("eb") < F.col("ea")).alias("improved"), F.count_if(F.col("eb") > F.col("ea")).alias("regressed"),
+        F.round(100 * F.avg(F.when(F.col("ea") == 0, 1.0).otherwise(0.0)), 4).alias("exact_a"), F.count_if(F.col("eb") < F.col("ea")).alias("improved"), F.count_if(F.col("eb") > F.col("ea")).alias("regressed"),
     )
 
 
-def _ascii(x: str) -> str:
-    return f"regexp_replace({sql_fold(rf'regexp_replace({x}, {chr(39)}[^\x{{0000}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, '[^\\x20-\\x7E]', '', 'g')"
-
-
-ERRORS_SQL = f"""WITH c AS (SELECT DISTINCT image, {_ascii('ground_truth')} AS g, {_ascii('pred_a')} AS a, {_ascii('pred_b')} AS b FROM ocr_comparison), e AS (SELECT length(g) AS n, levenshtein(g, a) AS ea, levenshtein(g, b) AS eb FROM c WHERE length(g) > 0)
-SELECT round(100 * sum(ea) / sum(n), 4) AS micro_a, round(100 * sum(eb) / sum(n), 4) AS micro_b, round(100 * avg(ea / n), 4) AS macro_a, round(100 * avg(eb / n), 4) AS macro_b, count(*) FILTER (ea = 0) AS exact_a, count(*) FILTER (eb < ea) AS improved, count(*) FILTER (eb > ea) AS regressed FROM e"""
+_CHARS = lambda c: f"list_filter(string_split({c}, ''), lambda w: w <> '')"
+ERRORS_SQL = f"""WITH c AS (SELECT DISTINCT image, {_CHARS('ground_truth')} AS g, {_CHARS('pred_a')} AS a, {_CHARS('pred_b')} AS b FROM ocr_comparison), e AS (SELECT len(g) AS n, {edits_sql('g', 'a')} AS ea, {edits_sql('g', 'b')} AS eb FROM c WHERE len(g) > 0)
+SELECT round(100 * sum(ea) / sum(n), 4) AS micro_a, round(100 * sum(eb) / sum(n), 4) AS micro_b, round(100 * avg(ea / n), 4) AS macro_a, round(100 * avg(eb / n), 4) AS macro_b, round(100 * avg(CASE WHEN ea = 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS exact_a, count(*) FILTER (eb < ea) AS improved, count(*) FILTER (eb > ea) AS regressed FROM e"""
 
 
 def dataset_statistics(spark: SparkSession, d: str) -> DataFrame:

@@ -23,11 +23,11 @@ def best_text(d: str, spark: SparkSession) -> DataFrame:
     """(document_id, body, confidence_score, ocr_engine): the latest run; corrected text before raw, blank counts as none."""
     r = load(spark, d, "ocr_results").where("is_latest")
     body = F.coalesce(F.expr("nullif(corrected_text, '')"), F.expr("nullif(raw_text, '')"))
-    return r.select("id", "document_id", body.alias("body"), "confidence_score", "ocr_engine", "status").dropDuplicates(["document_id"]).drop("id")
+    return r.select("id", "document_id", body.alias("body"), "confidence_score", "ocr_engine", "status").transform(lambda x: latest(x, "document_id", F.asc("id"))).drop("id")
 
 
 def doc_index(spark: SparkSession, d: str) -> DataFrame:
-    meta = load(spark, d, "document_metadata").dropDuplicates(["document_id"]).select("document_id", "student_id", "student_name", "document_number", "tags", "priority_score")
+    meta = latest(load(spark, d, "document_metadata"), "document_id", F.asc("id")).select("document_id", "student_id", "student_name", "document_number", "tags", "priority_score")
     cat = load(spark, d, "document_categories").select(F.col("id").alias("category_id"), F.col("code").alias("category_code"), F.col("name").alias("category_name"))
     r = records(spark, d).select("id", "title", "category_id", "uploaded_by", "ocr_status", "is_public", "created_at", "file_type")
     out = r.join(best_text(d, spark), r.id == F.col("document_id"), "left").drop("document_id")

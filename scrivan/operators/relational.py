@@ -159,12 +159,12 @@ PAGES_SQL = f"WITH {IDX} SELECT id, (SELECT ceil(count(*) / 20)::BIGINT FROM rec
 
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     """(original_filename, place): the first 50 file names with digit runs compared as numbers."""
-    key = F.array_join(F.transform(F.regexp_extract_all(F.lower("original_filename"), F.lit(r"\d+|\D+"), F.lit(0)), lambda p: F.when(F.regexp_like(p, F.lit(r"^\d")), F.lpad(p, 12, "0")).otherwise(p)), "")
+    key = F.array_join(F.transform(F.regexp_extract_all(F.lower("original_filename"), F.lit(r"\d+|\D+"), F.lit(0)), lambda p: F.when(F.regexp_like(p, F.lit(r"^\d")), F.concat(F.lpad(F.length(F.regexp_replace(p, "^0+", "")).cast("string"), 4, "0"), F.regexp_replace(p, "^0+", ""))).otherwise(p)), "")
     names = records(spark, d).select("original_filename").distinct().withColumn("key", key).orderBy("key", "original_filename").limit(50)
     return names.withColumn("place", F.row_number().over(Window.orderBy("key", "original_filename"))).select("original_filename", "place")  # 50 rows
 
 
-NATURAL_SQL = rf"WITH {IDX} SELECT original_filename, row_number() OVER (ORDER BY k, original_filename) AS place FROM (SELECT DISTINCT original_filename, array_to_string(list_transform(regexp_extract_all(lower(original_filename), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 12, '0') ELSE p END), '') AS k FROM rec ORDER BY 2, 1 LIMIT 50)"
+NATURAL_SQL = rf"WITH {IDX} SELECT original_filename, row_number() OVER (ORDER BY k, original_filename) AS place FROM (SELECT DISTINCT original_filename, array_to_string(list_transform(regexp_extract_all(lower(original_filename), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(length(regexp_replace(p, '^0+', ''))::VARCHAR, 4, '0') || regexp_replace(p, '^0+', '') ELSE p END), '') AS k FROM rec ORDER BY 2, 1 LIMIT 50)"
 
 
 def set_operations(spark: SparkSession, d: str) -> DataFrame:

@@ -28,10 +28,11 @@ def query_terms(spark: SparkSession, queries: dict[int, str] | None = None) -> D
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, term, tf, dl) of docs (id, text), for the given terms only, and one row (n, avgdl)."""
     words = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    if terms is not None:  # the queries' words, a handful: one pass keeps lengths and these words, and everything below reads that
+        wanted = F.array(*[F.lit(r.term) for r in terms.select("term").distinct().collect()])
+        words = stage(words.select("id", "dl", F.filter("w", lambda t: F.array_contains(wanted, t)).alias("w")))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     flat = words.select("id", "dl", F.explode("w").alias("term"))
-    if terms is not None:  # the queries' words: a handful
-        flat = flat.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     return flat.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), stats
 
 
@@ -84,7 +85,7 @@ def lexical(spark: SparkSession, d: str, q: str = "học bổng khuyến khích"
     """
     words = _fold(q).split()
     phrase, pairs = " ".join(words), [" ".join(p) for p in zip(words, words[1:])]
-    docs = doc_index(spark, d).select("id", fold(F.coalesce("title", F.lit(""))).alias("t"), fold(F.coalesce("body", F.lit(""))).alias("x"), "student_id", "document_number")
+    docs = stage(doc_index(spark, d).select("id", fold(F.coalesce("title", F.lit(""))).alias("t"), fold(F.coalesce("body", F.lit(""))).alias("x"), "student_id", "document_number"))  # folded once
     count = lambda c, parts: reduce(lambda a, b: a + b, [F.col(c).contains(p).cast("int") for p in parts], F.lit(0))
     exact = F.when(F.col("t").contains(phrase), 200 + 2 * len(phrase)).when(F.col("x").contains(phrase), 100).otherwise(0)
     number = F.coalesce((F.length("student_id") > 3) & F.lit(phrase).contains(fold("student_id")), F.lit(False))
@@ -95,7 +96,7 @@ def lexical(spark: SparkSession, d: str, q: str = "học bổng khuyến khích"
     )
     score = F.when(known > 0, known).otherwise(loose)
     kind = reduce(lambda a, b: a | b, [F.col("t").startswith(p) for p in INSTITUTIONAL])
-    scored = docs.select("id", (score + F.when((score > 0) & kind, 25).otherwise(0)).alias("score")).where("score > 0")
+    scored = stage(docs.select("id", (score + F.when((score > 0) & kind, 25).otherwise(0)).alias("score"))).where("score > 0")
     best = scored.agg(F.max("score").alias("m"))
     floor = F.when(F.col("m") >= 120, F.greatest(0.5 * F.col("m"), F.lit(80.0))).when(F.col("m") >= 70, F.greatest(0.6 * F.col("m"), F.lit(50.0))).otherwise(0.0)
     return scored.crossJoin(F.broadcast(best)).where(F.col("score") >= floor).select("id", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -55,7 +56,7 @@ def masked_numbers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", mask_pii(made).alias("masked"))
 
 
-MASK_SQL = r"SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(printf('id %012d old %09d tel 09%08d mail user%d@host.vn', o_orderkey, o_custkey, o_custkey, o_custkey), '\b(\d{3})\d{6}(\d{3})\b', '\1******\2', 'g'), '\b(\d{3})\d{3}(\d{3})\b', '\1***\2', 'g'), '\b(0[35789]\d)\d{4}(\d{3})\b', '\1****\2', 'g'), '\b([A-Za-z0-9])[A-Za-z0-9._%+\-]*@', '\1***@', 'g') AS masked FROM orders"
+MASK_SQL = r"SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(printf('id %012d old %09d tel 09%08d mail user%d@host.vn', o_orderkey, o_custkey, o_custkey, o_custkey), '\b(\d{3})\d{6}(\d{3})\b', '\1******\2', 'g'), '\b(\d{3})\d{3}(\d{3})\b', '\1***\2', 'g'), '\b(0[35789]\d)\d{4}(\d{3})\b', '\1****\2', 'g'), '\b([A-Za-z0-9])[A-Za-z0-9._%+\-]*@([A-Za-z0-9.\-]+\.[A-Za-z]{2,})', '\1***@\2', 'g') AS masked FROM orders"
 
 
 def field_masks(spark: SparkSession, d: str) -> DataFrame:
@@ -69,11 +70,10 @@ FIELD_SQL = r"SELECT DISTINCT id, array_to_string(list_transform(regexp_split_to
 
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = doc_index(spark, d).where("body is not null")
-    return docs.select("id", F.round(quality(F.regexp_replace("body", r"[^\x20-\x7E]", ""), 0.92), 4).alias("q"))
+    return docs.select("id", F.round(quality(F.col("body"), 0.92), 4).alias("q"))
 
 
-_B = r"regexp_replace(body, '[^\x20-\x7E]', '', 'g')"
-QUAL_SQL = rf"WITH {IDX}, b AS (SELECT id, {_B} AS b FROM idx WHERE body IS NOT NULL) SELECT id, round(CASE WHEN length(b) < 10 THEN 0.6 ELSE least(1.0, greatest(0.0, 0.92 - least(0.15, 5.0 * len(regexp_extract_all(b, '[^\p{{L}}\p{{N}}\s.,;:!?()\-/]')) / length(b)) - least(0.05, 0.01 * len(regexp_extract_all(b, '\d{{5,}}'))))) END, 4)::DOUBLE AS q FROM b"
+QUAL_SQL = rf"WITH {IDX}, b AS (SELECT id, body AS b FROM idx WHERE body IS NOT NULL) SELECT id, round(CASE WHEN length(b) < 10 THEN 0.6 ELSE least(1.0, greatest(0.0, 0.92 - least(0.15, 5.0 * len(regexp_extract_all(b, '[^\p{{L}}\p{{N}}\s.,;:!?()\-/]')) / length(b)) - least(0.05, 0.01 * len(regexp_extract_all(b, '\d{{5,}}'))))) END, 4)::DOUBLE AS q FROM b"
 
 
 def noise_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -190,14 +190,14 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 SPLIT_SQL = "WITH t AS (SELECT doc_id, coalesce(doc_type_code, '-') AS k, row_number() OVER (PARTITION BY coalesce(doc_type_code, '-') ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS i, count(*) OVER (PARTITION BY coalesce(doc_type_code, '-')) AS m FROM documents), c AS (SELECT *, greatest(1, floor(m * 0.15)) AS cut FROM t) SELECT k, CASE WHEN i <= cut THEN 'test' WHEN i <= 2 * cut THEN 'validation' ELSE 'train' END AS split, count(*) AS n, sum(doc_id)::BIGINT AS s FROM c GROUP BY 1, 2"
 
 
-def label_audit(spark: SparkSession, d: str) -> DataFrame:
-    """(image, reason): lines whose label is doubtful: a high error, or both engines agreeing against it."""
+def label_audit(spark: SparkSession, d: str, most: float = 5.0) -> DataFrame:
+    """(image, reason): lines whose label is doubtful: an error of more than ``most`` per cent by either engine, or both agreeing against it."""
     c = load(spark, d, "ocr_comparison").dropDuplicates(["image"])
     agree = (F.lower("pred_a") == F.lower("pred_b")) & (F.lower("pred_a") != F.lower("ground_truth"))
-    return c.where((F.col("cer_b_pct") > 15) | agree).select("image", F.when(agree, "agree").otherwise("error").alias("reason"))
+    return c.where((F.greatest("cer_a_pct", "cer_b_pct") > most) | agree).select("image", F.when(agree, "agree").otherwise("error").alias("reason"))
 
 
-AUDIT_SQL = "SELECT DISTINCT image, CASE WHEN lower(pred_a) = lower(pred_b) AND lower(pred_a) <> lower(ground_truth) THEN 'agree' ELSE 'error' END AS reason FROM ocr_comparison WHERE cer_b_pct > 15 OR (lower(pred_a) = lower(pred_b) AND lower(pred_a) <> lower(ground_truth))"
+AUDIT_SQL = "SELECT DISTINCT image, CASE WHEN lower(pred_a) = lower(pred_b) AND lower(pred_a) <> lower(ground_truth) THEN 'agree' ELSE 'error' END AS reason FROM ocr_comparison WHERE greatest(cer_a_pct, cer_b_pct) > 5 OR (lower(pred_a) = lower(pred_b) AND lower(pred_a) <> lower(ground_truth))"
 
 
 def capped_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +248,7 @@ def word_error(truth: pd.Series, guess: pd.Series) -> pd.Series:
     """Word error in per cent; 0 for two blank texts, 100 where only the truth is blank."""
 
     def one(a: str, b: str) -> float:
-        x, y = (a or "").split(), (b or "").split()
+        x, y = ([w for w in re.split(r"\s+", t or "", flags=re.ASCII) if w] for t in (a, b))
         if not x:
             return 0.0 if not y else 100.0
         row = list(range(len(y) + 1))
@@ -263,15 +263,24 @@ def word_error(truth: pd.Series, guess: pd.Series) -> pd.Series:
 
 
 def word_errors(spark: SparkSession, d: str) -> DataFrame:
-    """(image, wer, grade) of every line, after composing; there is no word-level edit distance in SQL."""
+    """(image, wer, grade) of every line, after composing."""
     c = load(spark, d, "ocr_comparison").dropDuplicates(["image"])
     e = c.select("image", F.round(word_error(nfc("ground_truth"), nfc("pred_b")), 4).alias("wer"))
     return e.withColumn("grade", F.when(F.col("wer") < 2, "A").when(F.col("wer") < 5, "B").when(F.col("wer") < 15, "C").otherwise("D"))
 
 
+def edits_sql(a: str, b: str) -> str:
+    """Edit distance of two lists: a fold over the one of rows that a fold over the other makes."""
+    row = f"list_reduce(range(1, len({b}) + 1), lambda new, j: list_append(new, least(row[j + 1] + 1, new[j] + 1, row[j] + CASE WHEN {a}[i] = {b}[j] THEN 0 ELSE 1 END)), [i])"
+    return f"list_last(list_reduce(range(1, len({a}) + 1), lambda row, i: {row}, range(0, len({b}) + 1)))"
+
+
+_SPLIT = lambda c: f"list_filter(regexp_split_to_array(nfc_normalize({c}), '\\s+'), lambda w: w <> '')"
+WORDS_SQL = f"WITH c AS (SELECT DISTINCT image, {_SPLIT('ground_truth')} AS x, {_SPLIT('pred_b')} AS y FROM ocr_comparison), e AS (SELECT image, CASE WHEN len(x) = 0 THEN CASE WHEN len(y) = 0 THEN 0.0::DOUBLE ELSE 100 END ELSE round(100.0::DOUBLE * {edits_sql('x', 'y')} / len(x), 4) END AS wer FROM c) SELECT image, wer, CASE WHEN wer < 2 THEN 'A' WHEN wer < 5 THEN 'B' WHEN wer < 15 THEN 'C' ELSE 'D' END AS grade FROM e"
+
 CATALOG = {
     "accent_fold": (folded_titles, FOLD_SQL), "token_statistics": (token_statistics, TOKEN_SQL), "shingle_counts": (shingle_counts, SHINGLE_SQL), "character_frequency": (character_frequency, CHAR_SQL),
     "mask_numbers": (masked_numbers, MASK_SQL), "mask_fields": (field_masks, FIELD_SQL), "quality_scores": (quality_scores, QUAL_SQL), "noise_lines": (noise_lines, NOISE_SQL), "extract_fields": (extracted_fields, EXTRACT_SQL),
     "classify_doctype": (classified, _class_sql()), "auto_tags": (auto_tags, AUTO_SQL), "routing_rules": (routing, ROUTING_SQL), "exact_duplicates": (exact_duplicates, EXACT_SQL), "feature_hash_vectors": (feature_hash, HASH_SQL),
-    "stratified_split": (stratified_split, SPLIT_SQL), "label_audit": (label_audit, AUDIT_SQL), "cap_per_label": (capped_labels, CAP_SQL), "spatial_boxes": (spatial_boxes, BOXES_SQL), "faq_match": (faq_match, FAQ_SQL), "word_errors": (word_errors, None),
+    "stratified_split": (stratified_split, SPLIT_SQL), "label_audit": (label_audit, AUDIT_SQL), "cap_per_label": (capped_labels, CAP_SQL), "spatial_boxes": (spatial_boxes, BOXES_SQL), "faq_match": (faq_match, FAQ_SQL), "word_errors": (word_errors, WORDS_SQL),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrivan.operators import analytics, duplicates, relational, search, textops
+from scrivan.operators import access, analytics, duplicates, extraction, geometry, relational, repair, scoring, search, textops, tooling
 from scrivan.plans.pipes import compiled
 from scrivan.sources import files
 from scrivan.sources.tables import load
@@ -27,6 +27,6 @@ _PIPES = {
         "SELECT year(created_at)::INT AS y, ocr_status AS state, count(*) AS n, median(page_count) AS p FROM document_records WHERE page_count IS NOT NULL AND (is_public OR ocr_status LIKE 'AP%') GROUP BY 1, 2",
     ),
 }
-_ALL = {**search.CATALOG, **duplicates.CATALOG, **relational.CATALOG, **analytics.CATALOG, **textops.CATALOG, **_PIPES, **files.CATALOG, **streams.CATALOG}
+_ALL = {**search.CATALOG, **duplicates.CATALOG, **relational.CATALOG, **analytics.CATALOG, **textops.CATALOG, **scoring.CATALOG, **repair.CATALOG, **extraction.CATALOG, **geometry.CATALOG, **access.CATALOG, **tooling.CATALOG, **_PIPES, **files.CATALOG, **streams.CATALOG}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ EXPORT_SQL = f"WITH {IDX} SELECT id, title, coalesce(category_name, '') AS categ
 
 def exported(spark: SparkSession, d: str) -> DataFrame:
     """The listing written as CSV and read again."""
-    path = f"{shared_dir(spark)}/export-{abs(hash(d))}"
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     t = export_table(spark, d)
     export_csv(t, path)
     back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(path, schema=", ".join(f"`{c}` string" for c in t.columns), enforceSchema=True)
@@ -71,7 +73,7 @@ def restore(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 def backup_round_trip(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d).select("id", "title", "page_count", "is_public", "created_at")
-    path = f"{shared_dir(spark)}/backup-{abs(hash(d))}"
+    path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
     backup(r, path)
     return restore(spark, path, r).select("id", "title", F.coalesce("page_count", F.lit(-1)).alias("page_count"), "is_public", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
@@ -80,8 +82,8 @@ BACKUP_SQL = f"WITH {IDX} SELECT id, title, coalesce(page_count, -1) AS page_cou
 
 
 def merged(base: DataFrame, changes: DataFrame, key: str, order: str, gone: str | None = None) -> DataFrame:
-    """Latest-wins upsert: of each key the row with the greatest order stays; rows marked as gone leave."""
-    w = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(order))
+    """Latest-wins upsert: of each key the row with the greatest order stays, the change where both are equal; rows marked as gone leave."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new"))
     both = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     out = both.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return (out.where(~F.coalesce(F.col(gone), F.lit(False))) if gone else out).drop("_k", "_new")

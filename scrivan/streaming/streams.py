@@ -41,11 +41,15 @@ TUMBLING_SQL = "SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, event_type, count
 
 
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
-    """(user_id, n): sessions with gaps of twelve hours that have ended."""
+    """(user_id, start, n): sessions with gaps of twelve hours that have ended."""
     g = events(spark, d).groupBy(F.session_window("ts", "12 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return drained(g).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+SESSION_SQL = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
 def alert_matches(spark: SparkSession, d: str) -> DataFrame:
     """(event_id, alert): a stream joined with a static table of stored rules."""
     rules = spark.createDataFrame([("slow", "error", 50.0), ("big", "purchase", 80.0)], "alert string, event_type string, least double")
@@ -59,6 +63,9 @@ def watch_rate(most: int, seconds: int) -> Callable[[tuple, Iterator[pd.DataFram
     """A stateful function: the events of a key that are its (most + 1)th or later in the seconds up to and with them."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing of the key for a whole window: what is kept can't count any more
+            state.remove()
+            return
         kept: list[int] = list(state.get[0]) if state.exists else []
         rows = sorted((int(us), int(e)) for f in frames for us, e in zip(f.us, f.event_id))
         out = []
@@ -67,6 +74,7 @@ def watch_rate(most: int, seconds: int) -> Callable[[tuple, Iterator[pd.DataFram
             if len(kept) > most:
                 out.append((event, len(kept)))
         state.update((kept,))
+        state.setTimeoutTimestamp(max(kept[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "n"])
 
     return step
@@ -74,10 +82,10 @@ def watch_rate(most: int, seconds: int) -> Callable[[tuple, Iterator[pd.DataFram
 
 def rate_watch(spark: SparkSession, d: str) -> DataFrame:
     """(event_id, n): users with more than six events in 24 hours, by arbitrary state per user."""
-    s = events(spark, d).withColumn("us", F.unix_micros("ts")).select("user_id", "event_id", "us")
+    s = events(spark, d).withColumn("us", F.unix_micros("ts")).select("user_id", "event_id", "us", "ts")
     out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("n", T.LongType())])
     kept: Any = T.StructType([T.StructField("kept", T.ArrayType(T.LongType()))])
-    return drained(s.groupBy("user_id").applyInPandasWithState(watch_rate(6, 86_400), out, kept, "append", GroupStateTimeout.NoTimeout))
+    return drained(s.groupBy("user_id").applyInPandasWithState(watch_rate(6, 86_400), out, kept, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 RATE_SQL = "SELECT event_id, n FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 6"
@@ -99,7 +107,7 @@ def upsert_stream(changes: DataFrame, target: str, key: str, order: str) -> None
 
 CATALOG = {
     "stream_tumbling": (tumbling, TUMBLING_SQL),
-    "stream_sessions": (session_windows, None),
+    "stream_sessions": (session_windows, SESSION_SQL),
     "stream_alerts": (alert_matches, ALERT_SQL),
     "stream_rate_watch": (rate_watch, RATE_SQL),
 }

@@ -128,4 +128,4 @@ def test_stream_upsert_is_the_same_in_batches(spark, tmp_path):
     s = spark.readStream.schema("k int, v string, t int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streams.upsert_stream(s, str(tmp_path / "out"), "k", "t")
     last = max((tmp_path / "out").glob("v*"), key=lambda p: int(p.name[1:]))
-    assert {r.k for r in spark.read.parquet(str(last)).collect()} == {1, 2, 3}
+    assert {(r.k, r.v) for r in spark.read.parquet(str(last)).collect()} == {(1, "a"), (2, "c"), (3, "d")}
