@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrivan.llm.words import words
+from scrivan.llm.words import fold_table, words
 from scrivan.runtime import stage
 
 # What is printed and what it is misread as.
@@ -48,7 +48,7 @@ LEAST, RATIO = 20, 12
 #: Words (corrections and trusted ones) that are broadcast; of more, each block of ``BLOCK`` texts gets its own by a join.
 MOST_WORDS, BLOCK = 2_000_000, 2_000
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _NOT_LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^a-z]+")
 _BREAK = re.compile(r"([^\W\d_]+)(-|¬|­|‐|‑)[ \t]*$")
 _NUMBER_LINE = re.compile(r"(?i)^\W*(?:(?:trang|page|tr\.?|p\.)\s*\d{1,4}(?:\s*(?:/|of|trên)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4}|[-–—~\[(]\s*\d{1,4}\s*[-–—~\])]|\d{1,4})\W*$")
 _END_NUMBER = re.compile(r"^\W*\d{1,4}(?=\s)|(?<=\s)\d{1,4}(?=\W*$)")
@@ -100,7 +100,12 @@ def usual(body: str) -> str:
 
 def line_key(line: str) -> str:
     """The letters of a line without case, accents and digits."""
-    return re.sub(r"[^a-z]", "", "".join(words(line)))
+    low = line.lower()
+    if not low.isascii():
+        low = low.translate(fold_table())
+        if not low.isascii():
+            low = "".join(words(line))
+    return _NOT_LETTERS.sub("", low)
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -173,41 +178,38 @@ class Repair:
         return -1
 
     @staticmethod
-    def own_headers(lines: list[str], keys: list[str], tops: list[int]) -> set[int]:
+    def own_headers(lines: list[str], tops: list[int]) -> set[int]:
         """Lines of a header that only this text has: one that opens a page twice or more, perhaps misread a little, or that stands with a number of its own each time."""
         out: set[int] = set()
-        if tops and keys.count(keys[tops[0]]) > 1:
-            same = [j for j, k in enumerate(keys) if k == keys[tops[0]]]
-            numbers = [m.group() for j in same if (m := _END_NUMBER.search(lines[j]))]
-            if len(numbers) == len(same) == len(set(numbers)):
-                out |= set(same)
-        if len(tops) < 2:
+        first = lines[tops[0]].strip() if tops else ""
+        numbered = len(first) >= 8 and _END_NUMBER.search(first) is not None
+        if len(tops) < 2 and not numbered:
             return out
-        grams = {i: {keys[i][j : j + 2] for j in range(len(keys[i]) - 1)} for i in tops}
-        for i in tops:
-            alike = [j for j in tops if j != i and (keys[i] == keys[j] or len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j]))]
-            if alike and i not in out:
-                out |= {i, *alike}
-                out |= {j for j, k in enumerate(keys) if k and k == keys[i]}
+        keys = {i: line_key(lines[i]) for i in tops if len(lines[i]) >= 8 and lines[i].rstrip()[-1] not in ".;,!?"}
+        keys = {i: k for i, k in keys.items() if len(k) >= 8}
+        same = lambda i: {j for j, x in enumerate(lines) if abs(len(x.strip()) - len(lines[i].strip())) <= 8 and line_key(x) == keys[i]}
+        if numbered and tops[0] in keys and len(all_ := same(tops[0])) > 1:
+            numbers = [m.group() for j in all_ if (m := _END_NUMBER.search(lines[j].strip()))]
+            if len(numbers) == len(all_) == len(set(numbers)):
+                out |= all_
+        grams = {i: {k[j : j + 2] for j in range(len(k) - 1)} for i, k in keys.items()}
+        for i in keys:
+            if i not in out:
+                alike = [j for j in keys if j != i and (keys[i] == keys[j] or len(grams[i] & grams[j]) >= 0.6 * len(grams[i] | grams[j]))]
+                if alike:
+                    out |= {i, *alike} | same(i)
         return out
 
     def furniture(self, lines: list[str]) -> tuple[set[int], set[int], set[int]]:
         """Lines that are running headers, page numbers, and running headers with a page number."""
-        pages = {i for i, x in enumerate(lines) if x and (len(x) < 40 or len(x.strip()) < 40) and _NUMBER_LINE.match(x)}
-        tops, top = [], True
-        for i, x in enumerate(lines):
-            if i in pages:
-                top = True
-            elif top and x.strip():
-                tops.append(i)
-                top = False
-        sizes = {len(lines[i].strip()) for i in tops}
-        low, high = min(sizes, default=0) - 8, max(sizes, default=0) + 8
-        keys = [line_key(x) if 8 <= len(x) and (len(x) <= self.longest or low <= len(x) <= high) and x.rstrip()[-1:] not in ".;,!?" else "" for x in lines]
+        pages = {i for i, x in enumerate(lines) if x and (len(x) < 40 or x[0] == " " and len(x.strip()) < 40) and _NUMBER_LINE.match(x)}
+        tops = [next((i for i in range(at, len(lines)) if lines[i].strip() and i not in pages), -1) for at in sorted({0, *(i + 1 for i in pages)})]
+        tops = sorted({i for i in tops if i >= 0})
+        keys = [line_key(x) if 8 <= len(x) <= self.longest and x.rstrip()[-1:] not in ".;,!?" else "" for x in lines]
         of = {i: h for i, k in enumerate(keys) if k and (h := self.header_of(k)) >= 0}
         often = Counter(of.values())
         running = {i for i, h in of.items() if often[h] > 1}
-        running |= self.own_headers(lines, keys, [i for i in tops if len(keys[i]) >= 8 and i not in running])
+        running |= self.own_headers(lines, [i for i in tops if i not in running])
         numbered = set()
         ends = {i: m for i in running if (m := re.search(r"(?:^\W*(\d{1,4})\s)|(?:\s(\d{1,4})\W*$)", lines[i]))}
         if len({m.group(0).strip() for m in ends.values()}) > 1 or (ends and len(ends) == len(running)):

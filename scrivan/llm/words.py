@@ -11,7 +11,7 @@ _PLAIN = re.compile(r"[0-9a-z]+")
 _fold: dict[int, str] = {}
 
 
-def _table() -> dict[int, str]:
+def fold_table() -> dict[int, str]:
     """Code point -> what stays of it without accents, from Unicode's decompositions; built once a process."""
     if not _fold:
         for cp in range(0xC0, sys.maxunicode + 1 if sys.maxunicode < 0x3000 else 0x3000):
@@ -28,7 +28,7 @@ def words(text: str) -> list[str]:
     """The runs of letters or digits of a text in lower case without accents."""
     low = text.lower()
     if not low.isascii():
-        low = low.translate(_table())
+        low = low.translate(fold_table())
         if not low.isascii():
             return _WORD.findall(unicodedata.normalize("NFKC", low))
     return _PLAIN.findall(low)
@@ -36,7 +36,7 @@ def words(text: str) -> list[str]:
 
 def located(text: str) -> list[tuple[str, int, int]]:
     """The words of a text with where each begins and ends in it."""
-    table = _table()
+    table = fold_table()
     plain, at = [], []
     for k, ch in enumerate(text):
         for c in ch.lower().translate(table):
