@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivan.llm import encodings, groups, leaks, lookalike, names, neardup, overlap, packing, pii, scan_noise
+from scrivan.llm import encodings, groups, leaks, lookalike, names, neardup, oracles, overlap, packing, pii, scan_noise
 from scrivan.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,4 +35,4 @@ QUERIES: dict[str, Query] = {
     "p9_found": lambda s, d: leaks.found(load(s, d, "documents"), load(s, d, "eval_items")),
     "p9_cleaned": lambda s, d: leaks.cleaned(load(s, d, "documents"), load(s, d, "eval_items")),
 }
-SQL: dict[str, str] = {"p6_found": lookalike.found_sql()}
+SQL: dict[str, str] = {"p3_found": oracles.GROUPS, "p5_found": oracles.OVERLAP, "p6_found": lookalike.found_sql(), "p9_found": oracles.LEAKS}
