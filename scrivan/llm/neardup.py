@@ -152,10 +152,11 @@ def class_pairs(rows: DataFrame, sets: DataFrame, id_col: str, text_col: str, sh
     one = sets.join(spare, "row", "left_anti")
     keyed = one.select("sid", "n", F.explode("keys").alias("key")).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    cold = keyed.join(sizes.where(F.col("c") <= SHARD).hint("shuffle_hash"), "key").select("key", F.lit(0).alias("cell"), F.lit(0).alias("tree"), F.lit(False).alias("guest"), "sid")
+    met_keys = stage(keyed.join(sizes.hint("shuffle_hash"), "key").select("key", "c", "n", "sid"))  # most keys are of one set
+    cold = met_keys.where(F.col("c") <= SHARD).select("key", F.lit(0).alias("cell"), F.lit(0).alias("tree"), F.lit(False).alias("guest"), "sid")
     # a hot shard is cut by set size: sets of the wanted similarity lie in one cell or in neighbouring ones, and the larger visits the smaller
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) + 1e-9).cast("int")
-    hot = stage(keyed.join(sizes.where(F.col("c") > SHARD).select("key"), "key").select("key", own.alias("own"), "sid"))
+    hot = met_keys.where(F.col("c") > SHARD).select("key", own.alias("own"), "sid")
     trees = hot.groupBy("key", F.col("own").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("trees"))
     visits = hot.withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") - 1))).join(trees, ["key", "cell"])
     visits = visits.withColumn("home", F.pmod(F.xxhash64("sid"), F.col("trees")).cast("int")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
