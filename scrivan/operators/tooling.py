@@ -333,7 +333,9 @@ def merged_maps(spark: SparkSession, d: str) -> DataFrame:
     old = F.from_json("extra", "map<string,string>")
     new = F.map_from_arrays(F.array(F.lit("khoa_hoc"), F.lit("nguon"), F.lit("trong")), F.array(F.lit("2099"), F.lit("ocr"), F.lit(None).cast("string")))
     m = load(spark, d, "document_metadata").dropDuplicates(["id"]).where("extra is not null")
-    kept = F.map_filter(F.map_concat(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), new), lambda k, v: v.isNotNull())
+    # keys that come again leave the older bag first: no session setting decides which wins
+    older = F.map_filter(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~F.array_contains(F.map_keys(new), k))
+    kept = F.map_filter(F.map_concat(older, new), lambda k, v: v.isNotNull())
     return m.select("id", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("merged"))
 
 
