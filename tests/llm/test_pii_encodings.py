@@ -47,6 +47,17 @@ def test_forms_that_no_pattern_of_the_labeller_has():
     assert [{(k, t[a:b]) for k, a, b in spans} for t, spans in zip(cases, got)] == list(cases.values())
 
 
+def test_the_model_reads_what_no_pattern_proposes():
+    words = "sinh viên nộp hồ sơ tại phòng công tác theo quy định của nhà trường " * 8
+    seen = []
+    model = pii.Model.load()
+    scores = model.scores
+    model.scores = lambda ids: seen.append(ids) or scores(ids)
+    number = "mã số sinh viên 2001360"
+    assert not pii.stretches(words + number) and pii.find(model, [words, "", number]) == [[], [], [("id_number", 16, 23)]]
+    assert sum(int((x > 0).sum()) for x in seen) >= len(words)
+
+
 def test_made_values_keep_their_labels():
     rng = np.random.default_rng(5)
     maker = pii_train.Maker(rng, {})
