@@ -36,6 +36,11 @@ from scrivan.runtime import stage
 Q, RECALL, LEAST_SIMILARITY, THRESHOLD, HOT = 3, 0.98, 0.2, 0.88, 2000
 
 
+def _met(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that broadcasts nothing: staged tables of names are many times larger in memory than the files that Spark goes by."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def bands_needed(similarity: float, rows: int, recall: float) -> int:
     """The least b with 1 - (1 - s^r)^b >= recall."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
@@ -142,18 +147,18 @@ def _neighbour_keys(number: Column) -> Column:
 def _pairs(keyed: DataFrame) -> DataFrame:
     """(key, vertex, open) -> distinct (a, b) that share a key, one of them open at least."""
     a, b = keyed.where("open").toDF("key", "a", "open_a"), keyed.toDF("key", "b", "open_b")
-    return a.join(b, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _met(a, b, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _blocked_pairs(banded: DataFrame) -> DataFrame:
     """``_pairs`` of staged (key, vertex, open, number), by pairs of blocks of a band; only what ``links`` may keep by its numbers."""
     hot = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.ceil(F.col("c") / HOT).cast("int").alias("blocks"))
-    marked = banded.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    marked = _met(banded, hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     marked = marked.withColumn("home", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     a = marked.where("open").select("key", F.col("home").alias("i"), F.col("other").alias("j"), F.col("vertex").alias("a"), F.col("number").alias("number_a"))
     b = marked.select("key", F.col("other").alias("i"), F.col("home").alias("j"), F.col("vertex").alias("b"), F.col("number").alias("number_b"))
     near = F.coalesce(F.levenshtein("number_a", "number_b") <= 2, F.lit(True))
-    return a.join(b, ["key", "i", "j"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _met(a, b, ["key", "i", "j"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -164,7 +169,7 @@ def links(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = (F.col("number").isNull()) | (F.col("n") == 1)
     spelt = stage(base.where("name <> ''").select("entity", "name").distinct())
     count = bands_needed(LEAST_SIMILARITY, 1, RECALL)
-    hashed = spelt.join(every.where("code is not null").select("entity", "code", "number", open_.alias("open")), "entity").withColumn("h", _minhash("name", F.lit(count)))
+    hashed = _met(spelt, every.where("code is not null").select("entity", "code", "number", open_.alias("open")), "entity").withColumn("h", _minhash("name", F.lit(count)))
     banded = hashed.select("entity", "open", "number", F.posexplode("h").alias("band", "value"), "code").select(
         F.xxhash64("code", "band", "value").alias("key"), F.col("entity").alias("vertex"), "open", "number"
     )
@@ -180,8 +185,8 @@ def links(base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     agree = F.col("code_a") == F.col("code_b")
     fit = F.when(both, (one_edit | two_slips) & F.coalesce(agree, F.lit(True))).otherwise(F.coalesce(agree, F.lit(False)))
     apart = both & (F.col("n_a") > 1) & (F.col("n_b") > 1)
-    kept = candidates.join(side("a"), "a").join(side("b"), "b").where(fit & ~apart)
-    named = kept.join(spelt.toDF("a", "name_a"), "a").join(spelt.toDF("b", "name_b"), "b").select("a", "b", "name_a", "name_b", both.alias("both"))
+    kept = _met(_met(candidates, side("a"), "a"), side("b"), "b").where(fit & ~apart)
+    named = _met(_met(kept, spelt.toDF("a", "name_a"), "a"), spelt.toDF("b", "name_b"), "b").select("a", "b", "name_a", "name_b", both.alias("both"))
     scored = named.withColumn("score", _similarity("name_a", "name_b")).groupBy("a", "b").agg(F.max("score").alias("score"), F.first("both").alias("both"))
     # a number one slip away is evidence of its own
     return scored.where(F.col("score") >= F.when(F.col("both"), threshold - 0.08).otherwise(threshold)).select("a", "b", (F.col("score") + F.when(F.col("both"), 1.0).otherwise(0.0)).alias("score"))
@@ -191,13 +196,13 @@ def stars(edges: DataFrame, weight: DataFrame, most_rounds: int = 30) -> DataFra
     """(satellite, centre): star clustering of (a, b, score) edges; (entity, w) ranks centres, heavier first."""
     out, live = None, None
     half = edges.select(F.col("a").alias("v"), F.col("b").alias("o"), "score").unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("o"), "score"))
-    live = stage(half.join(weight.toDF("v", "wv"), "v").join(weight.toDF("o", "wo"), "o"))
+    live = stage(_met(_met(half, weight.toDF("v", "wv"), "v"), weight.toDF("o", "wo"), "o"))
     for _ in range(most_rounds):
         if live.isEmpty():
             break
         above = (F.col("wo") > F.col("wv")) | ((F.col("wo") == F.col("wv")) & (F.col("o") < F.col("v")))
         centre = live.groupBy("v").agg(F.max(above).alias("below")).where("not below").select(F.col("v").alias("c"))
-        offers = live.join(centre.toDF("o"), "o", "left_semi")
+        offers = _met(live, centre.toDF("o"), "o", "left_semi")
         best = Window.partitionBy("v").orderBy(F.desc("score"), F.desc("wo"), "o")
         ranked = offers.withColumn("k", F.row_number().over(best)).withColumn("next", F.lead("score").over(best))
         joined = ranked.where("k = 1 and (next is null or next < score - 1e-6)").select(F.col("v").alias("satellite"), F.col("o").alias("centre"))
@@ -205,7 +210,7 @@ def stars(edges: DataFrame, weight: DataFrame, most_rounds: int = 30) -> DataFra
         settled = stage(ranked.where("k = 1").select(F.col("v").alias("x")).unionByName(centre.toDF("x")).distinct())
         joined = stage(joined)
         out = joined if out is None else out.unionByName(joined)
-        live = stage(live.join(settled.toDF("v"), "v", "left_anti").join(settled.toDF("o"), "o", "left_anti"))
+        live = stage(_met(_met(live, settled.toDF("v"), "v", "left_anti"), settled.toDF("o"), "o", "left_anti"))
     else:
         raise RuntimeError("star clustering did not end")
     return out if out is not None else edges.select(F.col("a").alias("satellite"), F.col("b").alias("centre")).limit(0)
@@ -217,12 +222,12 @@ def linked(rows: DataFrame) -> DataFrame:
     weight = base.groupBy("entity").agg(F.max(F.when(F.col("number").isNotNull(), 1_000_000).otherwise(0)).alias("k"), F.count(F.lit(1)).alias("c"))
     sure = F.when(F.col("c") > 1, F.col("k") + F.col("c")).otherwise(F.col("k") / 2 + F.col("c"))
     joined = stars(links(base), weight.select("entity", sure.alias("w")))
-    return base.join(joined, base.entity == joined.satellite, "left").select("id", "student_name", F.coalesce("centre", "entity").alias("student"))
+    return _met(base, joined, base.entity == joined.satellite, "left").select("id", "student_name", F.coalesce("centre", "entity").alias("student"))
 
 
 def found(rows: DataFrame) -> DataFrame:
     """(metadata_id_a, metadata_id_b): two rows of one student whose names differ as strings."""
     named = stage(linked(rows).where("student_name is not null"))
     a, b = named.toDF("x", "name_x", "student"), named.toDF("y", "name_y", "student")
-    pairs = a.join(b, "student").where("x < y and name_x <> name_y")
+    pairs = _met(a, b, "student").where("x < y and name_x <> name_y")
     return pairs.select(F.col("x").alias("metadata_id_a"), F.col("y").alias("metadata_id_b"))

@@ -44,6 +44,19 @@ def test_students(spark):
     assert {r.id for r in names.linked(df).collect()} == {r[0] for r in ROWS}
 
 
+def test_no_table_of_names_is_broadcast(spark, monkeypatch):
+    plans, stage = [], names.stage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(names, "stage", seen)
+    last = names.found(spark.createDataFrame(ROWS, "id string, student_id string, student_name string, extra string"))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_hot_bands(spark, monkeypatch):
     df = spark.createDataFrame([*ROWS], "id string, student_id string, student_name string, extra string")
     want = {tuple(r) for r in names.found(df).collect()}
