@@ -4,8 +4,9 @@ Every distinct normalised evaluation line is cut into ``edits + 1`` runs of word
 ``edits`` inserted, removed or replaced words holds one of the runs unbroken, within ``edits`` places of where it stands
 in the evaluation line. The runs are sharded; each shard's automaton scans the training lines routed to it, and a hit is
 confirmed by a banded word edit distance. A line is routed by word pairs: each run is known by one of its pairs (its
-rarest among all runs), and a training line goes to the shards of those of its pairs that some run is known by. Nothing
-is lost by this, and a line goes to no more shards than it has words, however many shards there are.
+rarest among all runs), and a training line goes to the shards of those of its pairs that some run is known by, where
+the pair stands, and the line is as long, as ``edits`` allow for one of these runs. Nothing is lost by this, and a line
+goes to no more shards than it has words, however many shards there are.
 
 Shards grow in number with the evaluation lines; an anchor that more than ``PIECES`` runs share is cut into parts of
 about that size, and every part is salted by the number of lines routed to it, so no task holds more than a bounded
@@ -72,7 +73,8 @@ def _scan(edits: int, least: int):
             return pd.DataFrame({"norm": [], "start": [], "stop": []})
         automaton = ahocorasick.Automaton()
         texts: dict[str, dict[tuple[int, int], list[tuple[int, int]]]] = {}
-        split = [x.split(" ") for x in evals.norm]
+        norms = evals.norm.tolist()
+        split = [x.split(" ") for x in norms]
         for k, (ws, start, stop) in enumerate(zip(split, evals.start, evals.stop)):
             piece = " " + " ".join(ws[start:stop]) + " "
             texts.setdefault(piece, {}).setdefault((len(ws), int(start)), []).append((k, int(stop)))
@@ -81,20 +83,33 @@ def _scan(edits: int, least: int):
         automaton.make_automaton()
         out, done = [], set()
         shifts = range(-edits, edits + 1)
+        sets: dict[int, set[str]] = {}
         for line in lines.line:
             padded = f" {line} "
             own = line.split(" ")
+            words_of_line, far = set(own), set()
             for end, (size, owners) in automaton.iter(padded):
                 at = padded.count(" ", 0, end - size + 2) - 1
-                for n in shifts:
-                    for shift in shifts:
-                        for k, stop in owners.get((len(own) + n, at + shift), ()):
-                            if k in done:
+                if len(owners) < len(shifts) ** 2:
+                    places = [x for x in owners if abs(x[0] - len(own)) <= edits and abs(x[1] - at) <= edits]
+                else:
+                    places = [x for n in shifts for shift in shifts if (x := (len(own) + n, at + shift)) in owners]
+                for place in places:
+                    for k, stop in owners[place]:
+                        if k in done or norms[k] in far:
+                            continue
+                        norm = norms[k]
+                        if norm != line:
+                            if len(own) < least or place[0] < least:
                                 continue
-                            norm = evals.norm.iat[k]
-                            if norm == line or (len(split[k]) >= least and len(own) >= least and near(split[k], own, edits)):
-                                done.add(k)
-                                out.append((norm, at + shift, stop))
+                            # each edit takes one word of a line at most
+                            if (mine := sets.get(k)) is None:
+                                mine = sets[k] = set(split[k])
+                            if len(mine - words_of_line) > edits or len(words_of_line - mine) > edits or not near(split[k], own, edits):
+                                far.add(norm)
+                                continue
+                        done.add(k)
+                        out.append((norm, place[1], stop))
         return pd.DataFrame(out, columns=["norm", "start", "stop"])
 
     return run
@@ -122,25 +137,29 @@ def overlapping(rows: DataFrame, edits: int = 2, least: int = 8, evaluated: tupl
 
     runs = normed.where("e = 1").select("norm", F.explode(cut("norm")).alias("p")).select("norm", "p.start", "p.stop")
     runs = _anchored(runs.withColumn("run", F.array_join(F.slice(F.split("norm", " "), F.col("start") + 1, F.col("stop") - F.col("start")), " ")), "run")
-    runs = stage(runs.select("norm", "start", "stop", F.array_distinct("pairs").alias("pairs")))
+    runs = stage(runs.select("norm", "start", "stop", "pairs"))
     # each run is known by its rarest pair, so that a pair that many runs hold is the anchor of those only that have no other
-    held = runs.select("norm", "start", F.explode("pairs").alias("pair"))
+    held = runs.select("norm", "start", F.explode(F.array_distinct("pairs")).alias("pair"))
     rarest = held.join(held.groupBy("pair").agg(F.count(F.lit(1)).alias("c")), "pair").groupBy("norm", "start").agg(F.min(F.struct("c", "pair")).alias("m"))
-    runs = stage(runs.join(rarest, ["norm", "start"]).select("norm", "start", "stop", F.col("m.pair").alias("anchor")))
+    runs = stage(runs.join(rarest, ["norm", "start"]).select("norm", "start", "stop", F.col("m.pair").alias("anchor"), (F.col("start") + F.array_position("pairs", F.col("m.pair")) - 1).alias("at")))
     n_runs = runs.count()
     shards = max(1, -(-n_runs // PIECES))
     # an anchor of more runs than an automaton holds is cut into parts of that size, each of which its lines visit
-    known = stage(runs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PIECES).cast("int").alias("parts")).withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int")))
-    runs = runs.join(known, "anchor").select("norm", "start", "stop", "shard", F.pmod(F.xxhash64("norm", "start"), F.col("parts")).cast("int").alias("part"))
+    size = F.size(F.split("norm", " "))
+    reach = [(F.min("at") - edits).alias("from_at"), (F.max("at") + edits).alias("to_at"), (F.min(size) - edits).alias("from_size"), (F.max(size) + edits).alias("to_size")]
+    known = stage(runs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / PIECES).cast("int").alias("parts"), *reach).withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int")))
+    runs = runs.join(known.select("anchor", "parts", "shard"), "anchor").select("norm", "start", "stop", "shard", F.pmod(F.xxhash64("norm", "start"), F.col("parts")).cast("int").alias("part"))
     lines = _anchored(normed.where("t = 1").select(F.col("norm").alias("line")), "line")
-    pairs = F.col("pairs")
+    placed = lambda x: F.transform(x, lambda h, k: F.struct(h.alias("anchor"), k.alias("at")))
+    pairs = placed(F.col("pairs"))
     # a run of one word is known by that word: then lines are routed by their words too
     if not runs.where("stop - start = 1").isEmpty():
-        pairs = F.concat(pairs, F.transform(F.split("line", " "), lambda x: F.xxhash64(x, F.lit(""))))
-    keys = lines.select("line", F.explode(F.array_distinct(pairs)).alias("anchor"))
+        pairs = F.concat(pairs, placed(F.transform(F.split("line", " "), lambda x: F.xxhash64(x, F.lit("")))))
+    keys = lines.select("line", F.size(F.split("line", " ")).alias("size"), F.inline(pairs))
     # beside few anchors the lines stay where they are; more of them are joined by shuffles, with the same result
     near = F.broadcast(known) if known.count() <= MOST_ANCHORS else known
-    visits = keys.join(near, "anchor").select("line", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    fits = F.col("at").between(F.col("from_at"), F.col("to_at")) & F.col("size").between(F.col("from_size"), F.col("to_size"))
+    visits = keys.join(near, "anchor").where(fits).select("line", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     routed = stage(visits.distinct())
     load = routed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     cells = load.count()

@@ -119,3 +119,14 @@ def test_words():
 def test_contract_small(spark, n):
     edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(n)], "u string, v string")
     assert groups.contract(edges).select("label").distinct().count() == (n > 0)
+
+
+def test_lines_that_share_a_run_only_are_not_compared_word_by_word(monkeypatch):
+    import pandas as pd
+
+    calls, near = [], overlap.near
+    monkeypatch.setattr(overlap, "near", lambda *x: calls.append(x) or near(*x))
+    norms = ["a b c " + " ".join(f"{y}{k}" for k in range(7)) for y in "xyz"]
+    evals = pd.DataFrame({"norm": norms, "start": 0, "stop": 3})
+    lines = pd.DataFrame({"line": ["a b c " + " ".join(f"{y}{k}" for k in range(7)) for y in "uvw"] + ["new a b c y0 y1 y2 y3 y4 y5 other"]})
+    assert overlap._scan(2, 8)(evals, lines).values.tolist() == [[norms[1], 0, 3]] and len(calls) == 1
