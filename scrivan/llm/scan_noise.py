@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import pandas as pd
@@ -98,6 +99,7 @@ def usual(body: str) -> str:
     return _HIDDEN.sub("", body) if any(c in body for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad") else body
 
 
+@lru_cache(50_000)
 def line_key(line: str) -> str:
     """The letters of a line without case, accents and digits."""
     low = line.lower()
@@ -164,18 +166,31 @@ class Repair:
         self.fixes, self.known = fixes, known
         self.headers = {h: k for k, h in enumerate(headers)}
         self.longest = int(1.6 * max(map(len, headers), default=0)) + 12  # of a header line with its blanks and number
-        self.grams = [(k, h, {h[i : i + 2] for i in range(len(h) - 1)}) for h, k in self.headers.items()]
+        self.grams: dict[int, list[tuple[int, set[str]]]] = {}
+        for h, k in self.headers.items():
+            self.grams.setdefault(len(h), []).append((k, {h[i : i + 2] for i in range(len(h) - 1)}))
+        self.seen: dict[str, int] = {}
 
     def header_of(self, key: str) -> int:
         """Which header a line is, perhaps misread a little; -1 for none."""
         if key in self.headers:
             return self.headers[key]
-        if 8 <= len(key) <= 60:
-            mine = {key[i : i + 2] for i in range(len(key) - 1)}
-            best = max(((len(mine & g) / len(mine | g), k) for k, h, g in self.grams if abs(len(h) - len(key)) <= 6), default=(0, -1))
-            if best[0] >= 0.6:
-                return best[1]
-        return -1
+        if not 8 <= len(key) <= 60:
+            return -1
+        if (known := self.seen.get(key)) is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            known = self.seen[key] = self.nearest(key)
+        return known
+
+    def nearest(self, key: str) -> int:
+        mine = {key[i : i + 2] for i in range(len(key) - 1)}
+        best = (0.0, -1)
+        for size in range(len(key) - 6, len(key) + 7):
+            for k, g in self.grams.get(size, ()):
+                both = len(mine & g)
+                best = max(best, (both / (len(mine) + len(g) - both), k))
+        return best[1] if best[0] >= 0.6 else -1
 
     @staticmethod
     def own_headers(lines: list[str], tops: list[int]) -> set[int]:

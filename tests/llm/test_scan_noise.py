@@ -107,3 +107,12 @@ def test_sql_columns(spark, results):
     df = spark.createDataFrame(results, "id string, raw_text string, corrected_text string, text string")
     assert sn.found(df).columns == ["ocr_id", "field_name", "noise_kind"]
     assert sn.clean(df).where(F.col("ocr_id") == "ok1").count() == 1
+
+
+def test_a_line_is_compared_with_the_headers_once(monkeypatch):
+    headers = ["truongdaihockhoahoc", "phongcongtacsinhvien", "truongdaihocnghethuat"]
+    repair = sn.Repair({}, set(), headers)
+    asked, nearest = [], repair.nearest
+    monkeypatch.setattr(repair, "nearest", lambda key: asked.append(key) or nearest(key))
+    keys = ["truongdaihockhoahoc", "truongdaihocknoahoc", "truongdaihocnghethual", "khonggiongdongnao", "ngan"]
+    assert [repair.header_of(k) for k in keys * 3] == [0, 0, 2, -1, -1] * 3 and asked == keys[1:4]
