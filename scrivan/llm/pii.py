@@ -2,7 +2,7 @@
 
 The model reads every character of every text, in overlapping windows of ``WIDTH`` characters. Where windows overlap, the
 scores of the one in which a character stands further from the edge count; then one best label sequence is decoded for
-the whole text. What the model labels is the value: its span is only completed to whole words (``snap``). No pattern
+the whole text: places that no better sequence can label are told by a bound, the stretches between them are decoded. What the model labels is the value: its span is only completed to whole words (``snap``). No pattern
 decides where the model looks, what is a value or where it ends; patterns only choose what it is trained on.
 
 The weights in ``pii_model.npz`` were trained by ``pii_train.py`` on at most ``SAMPLE`` labelled texts.
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ["O", *[f"{x}-{t}" for t in TYPES for x in "BI"]]
-WIDTH, STEP, BATCH, SAMPLE = 512, 448, 512, 2500
-#: Characters times texts that are decoded at once, padding included.
-DECODED = 500_000
+WIDTH, STEP, BATCH, SAMPLE = 512, 448, 256, 2500
+#: Characters whose scores are held at once (a longer text is held whole); characters times stretches decoded at once.
+HELD, DECODED = 3_000_000, 500_000
 MODEL = Path(__file__).with_name("pii_model.npz")
 
 _ids: dict[str, int] = {}
@@ -54,20 +54,19 @@ def char_id(ch: str) -> int:
     return known
 
 
-N_CHARS = 110 + len(_MARKS)
-
-
-class _Table(dict):
-    def __missing__(self, code: int) -> int:
-        self[code] = known = char_id(chr(code)) + 0x100
-        return known
-
-
-_table = _Table()
+#: ``PAD`` fills windows up: it leaves the model's state at nothing, so a text's scores don't hang on those beside it.
+N_CHARS = PAD = 110 + len(_MARKS)
+_known = np.full(0x110000, -1, np.int16)
 
 
 def encode(text: str) -> np.ndarray:
-    return (np.frombuffer(text.translate(_table).encode("utf-32-le"), dtype=np.uint32) - 0x100).astype(np.int16)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ids = _known[codes]
+    if (ids < 0).any():
+        new = np.unique(codes[ids < 0])
+        _known[new] = [char_id(chr(c)) for c in new.tolist()]
+        ids = _known[codes]
+    return ids
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,8 +98,10 @@ class Model:
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         w = {k: v.astype(np.float32) for k, v in weights.items()}
         self.w = w
-        self.forward = w["emb"] @ w["fx"] + w["fb"]  # what each character gives the gates, once and for all
-        self.backward = w["emb"] @ w["bx"] + w["bb"]
+        self.gates = [_gates(w[f"{d}h"], w[f"{d}x"], w[f"{d}b"]) for d in "fb"]
+        self.chars = np.zeros((w["emb"].shape[1] + 2, N_CHARS + 1), np.float32)
+        self.chars[:-2, :N_CHARS], self.chars[-2, :N_CHARS], self.chars[-1, PAD] = w["emb"].T, 1, 1
+        self.bound = _Bound(w["trans"])
 
     @classmethod
     def load(cls, path: Path = MODEL) -> Model:
@@ -110,52 +111,108 @@ class Model:
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """[B, T] characters -> [B, T, labels] emission scores."""
         x = np.ascontiguousarray(ids.T, dtype=np.intp)
-        f = _passed(self.forward, self.w["fh"], x, range(len(x)))
-        b = _passed(self.backward, self.w["bh"], x, range(len(x) - 1, -1, -1))
-        return (self.w["of"].T @ f + self.w["ob"].T @ b + self.w["bias"][:, None]).transpose(2, 0, 1)
-
-
-def _passed(table: np.ndarray, weights: np.ndarray, x: np.ndarray, order: range) -> np.ndarray:
-    """``lstm`` of [T, B] characters in an order -> [T, H, B]; every gate by one exponential, which is faster than tanh."""
-    size, (steps, batch) = len(weights), x.shape
-    sign = np.full((4 * size, 1), -1, np.float32)
-    sign[3 * size :] = -2  # tanh(z) = 2 sigmoid(2 z) - 1
-    table, weights = np.ascontiguousarray(sign * table.T), np.ascontiguousarray(sign * weights.T)
-    h, c = np.zeros((size, batch), np.float32), np.zeros((size, batch), np.float32)
-    z, chars = np.empty((4 * size, batch), np.float32), np.empty((4 * size, batch), np.float32)
-    out = np.empty((steps, size, batch), np.float32)
-    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
-        for t in order:
-            np.matmul(weights, h, out=z)
-            z += np.take(table, x[t], axis=1, out=chars, mode="clip")
-            np.reciprocal(np.add(np.exp(z, out=z), 1, out=z), out=z)
-            g = z[3 * size :]
-            g *= 2
-            g -= 1
-            c *= z[size : 2 * size]
-            c += np.multiply(z[:size], g, out=g)
-            h = np.multiply(c, -2, out=out[t])
-            np.reciprocal(np.add(np.exp(h, out=h), 1, out=h), out=h)
-            h *= 2
-            h -= 1
-            h *= z[2 * size : 3 * size]
-    return out
+        out = np.empty((len(x), len(self.w["bias"]), x.shape[1]), np.float32)
+        out[:] = self.w["bias"][:, None]
+        _passed(self.gates[0], self.chars, self.w["of"], x, range(len(x)), out)
+        _passed(self.gates[1], self.chars, self.w["ob"], x, range(len(x) - 1, -1, -1), out)
+        return out.transpose(2, 0, 1)
+
+
+def _gates(recurrent: np.ndarray, inputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """[4H, H + E + 2] weights of twice the state, a character's vector, one and ``PAD``, so that sigmoids come as tanh(z / 2)."""
+    size = len(recurrent)
+    shut = np.zeros(4 * size, np.float32)
+    shut[:size] = shut[2 * size : 3 * size] = -1000
+    out = np.concatenate([recurrent / 2, inputs, bias[None], shut[None]]).T
+    out[: 3 * size] /= 2
+    return np.ascontiguousarray(out)
+
+
+def _passed(gates: np.ndarray, chars: np.ndarray, read: np.ndarray, x: np.ndarray, order: range, scores: np.ndarray) -> None:
+    """``lstm`` of [T, B] characters in an order, read into [T, labels, B] scores. A gate is one tanh, 2 sigmoid(z) = tanh(z / 2) + 1."""
+    size, batch = len(read), x.shape[1]
+    read = np.ascontiguousarray(read.T / 2)
+    step, c = np.zeros((gates.shape[1], batch), np.float32), np.zeros((size, batch), np.float32)
+    h, given = step[:size], step[size:]
+    z, add = np.empty((4 * size, batch), np.float32), np.empty((len(read), batch), np.float32)
+    i, f, o, g, sigmoids, tc = z[:size], z[size : 2 * size], z[2 * size : 3 * size], z[3 * size :], z[: 3 * size], np.empty_like(c)
+    for t in order:
+        chars.take(x[t], axis=1, out=given, mode="clip")
+        np.matmul(gates, step, out=z)
+        np.tanh(z, out=z)
+        sigmoids += 1
+        c *= f
+        i *= g
+        c += i
+        c *= 0.5
+        np.tanh(c, out=tc)
+        np.multiply(tc, o, out=h)
+        np.matmul(read, h, out=add)
+        scores[t] += add
+
+
+class _Bound:
+    """What a run of labels other than O can at most score above O, so that places outside any such run need no decoding.
+
+    What going on from a value's first character scores above going on later is counted when that character is met.
+    """
+
+    def __init__(self, trans: np.ndarray) -> None:
+        above = trans - trans[0, 0]
+        ahead = np.zeros(len(trans), np.float32)
+        for k in range(1, len(trans), 2):
+            ahead[k] = max(0, above[k, k + 1] - np.delete(above[1:, k + 1], k - 1).max())
+        above = above + ahead - ahead[:, None]
+        self.enter, self.go, self.start = above[0, 1:, None], above[1:, 1:].max(axis=0)[:, None], ahead[1:, None]
+        self.leave = float(above[1:, 0].max())
+
+    def gains(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """[T, labels, B] scores -> [T, B] what a run can gain by beginning at a place after O, and by going on to it; [B] by beginning with a text."""
+        begin, go = np.empty((2, len(scores), scores.shape[2]), np.float32)
+        for t in range(0, len(scores), 16):
+            others = scores[t : t + 16, 1:] - scores[t : t + 16, :1]
+            np.max(others + self.enter, axis=1, out=begin[t : t + 16])
+            others += self.go
+            np.max(others, axis=1, out=go[t : t + 16])
+        return begin, go, (scores[0, 1:] + self.start).max(axis=0) - scores[0, 0]
+
+    def open(self, begin: np.ndarray, go: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The places that may lie in such a run; ``last``: a text's last ones, where none has to leave."""
+        v = np.cumsum(go, dtype=np.float64)
+        ends = v + np.where(last, 0, self.leave)
+        most = np.maximum.accumulate(begin - v) + np.maximum.accumulate(ends[::-1])[::-1]
+        most += go
+        most += 0.01  # rounding
+        return most >= 0
 
 
 def viterbi(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """[B, T, L] -> [B, T] best labels."""
     batch, steps, size = scores.shape
-    best = scores.transpose(1, 2, 0).astype(np.float32, order="C")
+    free = np.zeros((size, batch), np.float32)
+    return _best(scores.transpose(1, 2, 0).astype(np.float32, order="C"), np.full(batch, steps), free, free, trans)
+
+
+def _best(best: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """[T, L, B] scores of sequences of falling lengths, [L, B] for their first and last labels -> [B, T]. Overwrites ``best``."""
+    steps, size, batch = best.shape
+    live = np.searchsorted(-lengths, -np.arange(steps + 1))  # sequences longer than t
     top, other = np.empty((2, size, batch), np.float32)
+    best[0] += first
     for t in range(1, steps):
-        np.add(best[t - 1, 0], trans[0][:, None], out=top)
+        n = live[t]
+        a, b = top[:, :n], other[:, :n]
+        np.add(best[t - 1, 0, :n], trans[0][:, None], out=a)
         for k in range(1, size):
-            np.maximum(top, np.add(best[t - 1, k], trans[k][:, None], out=other), out=top)
-        best[t] += top
-    out = np.empty((steps, batch), np.int8)
-    out[-1] = best[-1].argmax(axis=0)
-    for t in range(steps - 1, 0, -1):  # where each best label came from is only asked for those on the path
-        out[t - 1] = (best[t - 1] + trans[:, out[t]]).argmax(axis=0)
+            np.maximum(a, np.add(best[t - 1, k, :n], trans[k][:, None], out=b), out=a)
+        best[t, :, :n] += a
+    out = np.zeros((steps, batch), np.int8)
+    for t in range(steps - 1, -1, -1):  # where each best label came from is only asked for those on the path
+        n, on = live[t], live[t + 1]
+        if on:
+            out[t, :on] = (best[t, :, :on] + trans[:, out[t + 1, :on]]).argmax(axis=0)
+        if on < n:
+            out[t, on:n] = (best[t, :, on:n] + last[:, on:n]).argmax(axis=0)
     return out.T
 
 
@@ -186,51 +243,69 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def label_stretches(model: Model, parts: list[str]) -> list[np.ndarray]:
-    """The labels of every character of every part. Windows overlap by half; the inner scores count; decoding is global."""
-    windows: list[tuple[int, int, np.ndarray]] = []
-    ids = [encode(p) for p in parts]
-    for k, x in enumerate(ids):
-        at = 0
-        while True:
-            windows.append((k, at, x[at : at + WIDTH]))
-            if at + WIDTH >= len(x):
-                break
-            at += STEP
-    order = sorted(range(len(windows)), key=lambda i: len(windows[i][2]))
-    emitted = [np.zeros((len(x) if len(x) > WIDTH else 0, len(LABELS)), np.float32) for x in ids]
-    inner = [np.full(len(x) if len(x) > WIDTH else 0, -1, np.int32) for x in ids]
+    """The labels of every character of every part. Windows overlap; the inner scores count; decoding is global."""
+    out: list[np.ndarray] = []
+    ends = np.cumsum([len(p) for p in parts])
+    while len(out) < len(parts):
+        done = int(ends[len(out) - 1]) if out else 0
+        out += _labelled(model, parts[len(out) : max(len(out) + 1, int(np.searchsorted(ends, done + HELD, "right")))])
+    return out
+
+
+def _labelled(model: Model, parts: list[str]) -> list[np.ndarray]:
+    lengths = np.array([len(p) for p in parts])
+    starts = np.cumsum(lengths + 1) - lengths - 1  # all texts in one row, with a place between
+    ids = encode("\n".join([*parts, ""]))
+    # windows: text, place in it, length, and from where to where its scores count
+    many = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WIDTH) // STEP)), 0)
+    text = np.repeat(np.arange(len(parts)), many)
+    at = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STEP
+    long = np.minimum(WIDTH, lengths[text] - at)
+    low, high = np.where(at > 0, (WIDTH - STEP) // 2, 0), np.where(at + long < lengths[text], WIDTH - (WIDTH - STEP) // 2, long)
+    base = starts[text] + at
+    begin, go, last = np.full(len(ids), -1e3, np.float32), np.full(len(ids), -1e3, np.float32), np.zeros(len(ids), bool)
+    last[(starts + lengths - 1)[lengths > 0]] = True
+    order, held = np.argsort(long, kind="stable"), []
     for start in range(0, len(order), BATCH):
-        chosen = order[start : start + BATCH]
-        long = max(len(windows[i][2]) for i in chosen)
-        batch = np.zeros((len(chosen), long), np.int16)
-        for r, i in enumerate(chosen):
-            batch[r, : len(windows[i][2])] = windows[i][2]
-        got = np.ascontiguousarray(model.scores(batch))
-        for r, i in enumerate(chosen):
-            k, at, w = windows[i]
-            n, whole = len(w), len(ids[k])
-            if n == whole:
-                emitted[k] = got[r, :n]
-                continue
-            place = np.arange(n)
-            depth = np.minimum(place if at else place + WIDTH, (n - 1 - place) if at + n < whole else WIDTH + place)
-            better = depth > inner[k][at : at + n]
-            emitted[k][at : at + n][better] = got[r, :n][better]
-            inner[k][at : at + n][better] = depth[better]
-    labels: list[np.ndarray] = [np.empty(0, np.int8)] * len(ids)
-    by_length = sorted(range(len(ids)), key=lambda k: len(ids[k]))
-    while by_length:
-        long = len(ids[by_length[-1]])
-        chosen = by_length[-min(BATCH, max(1, DECODED // max(1, long))) :]
-        del by_length[-len(chosen) :]
-        batch = np.zeros((len(chosen), long, len(LABELS)), np.float32)
-        batch[:, :, 0] = 0.01
-        for r, k in enumerate(chosen):
-            batch[r, : len(ids[k])] = emitted[k]
-        got = viterbi(batch, model.w["trans"]) if long else np.zeros((len(chosen), 0), np.int8)
-        for r, k in enumerate(chosen):
-            labels[k] = got[r, : len(ids[k])]
-    return labels
+        w = order[start : start + BATCH]
+        t = np.arange(long[w].max())[:, None]
+        place = np.minimum(base[w] + t, len(ids) - 1)
+        got = model.scores(np.where(t < long[w], ids[place], PAD).T).transpose(1, 2, 0)
+        counts = (t >= low[w]) & (t < high[w])
+        enters, goes, whole = model.bound.gains(got)
+        begin[place[counts]], go[place[counts]] = enters[counts], goes[counts]
+        first = at[w] == 0
+        begin[base[w][first]] = np.maximum(begin[base[w][first]], whole[first])
+        held.append((place, counts, got))
+    maybe = model.bound.open(begin, go, last)
+    maybe[starts + lengths] = False
+    where = np.flatnonzero(maybe)
+    rank = np.cumsum(maybe) - 1
+    scores = np.empty((len(where), len(LABELS)), np.float32)
+    for place, counts, got in held:
+        t, b = np.nonzero(counts & maybe[place])
+        scores[rank[place[t, b]]] = got[t, :, b]
+    labels = np.zeros(len(ids), np.int8)
+    labels[where] = _decoded(model.w["trans"], scores, where, np.isin(where, starts), last[where])
+    return [labels[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())]
+
+
+def _decoded(trans: np.ndarray, scores: np.ndarray, where: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """The best labels of [places, labels] scores: of each stretch of neighbours, with O beside it where its text goes on."""
+    out = np.zeros(len(where), np.int8)
+    starts = np.flatnonzero(np.diff(where, prepend=-2) > 1)
+    lengths = np.diff(starts, append=len(where))
+    order = np.argsort(-lengths, kind="stable")
+    while len(order):
+        chosen = order[: max(1, DECODED // int(lengths[order[0]]))]
+        order = order[len(chosen) :]
+        n, t = lengths[chosen], np.arange(lengths[chosen[0]])[:, None]
+        place = np.minimum(starts[chosen] + t, len(where) - 1)
+        first = np.where(opens[starts[chosen]], 0, trans[0][:, None]).astype(np.float32)
+        last = np.where(closes[starts[chosen] + n - 1], 0, trans[:, :1]).astype(np.float32)
+        got = _best(np.ascontiguousarray(scores[place].transpose(0, 2, 1)), n, first, last, trans).T
+        out[place[t < n]] = got[t < n]
+    return out
 
 
 def spans_of(labels: np.ndarray) -> list[tuple[str, int, int]]:
@@ -327,15 +402,14 @@ def tagged(results: DataFrame) -> DataFrame:
         for frame in frames:
             bodies = frame.body.tolist()
             texts, found = [], []
-            for at in range(0, len(bodies), 512):
-                for body, spans in zip(bodies[at : at + 512], find(model, bodies[at : at + 512])):
-                    pieces, end, mine = [], 0, set()
-                    for kind, a, b in sorted(spans, key=lambda s: s[1]):
-                        pieces += [body[end:a], f"<{kind.upper()}>"]
-                        end = b
-                        mine.add((kind, _clear(body[a:b])))
-                    texts.append("".join([*pieces, body[end:]]))
-                    found.append([{"pii_type": k, "pii_value": v} for k, v in sorted(mine)])
+            for body, spans in zip(bodies, find(model, bodies)):
+                pieces, end, mine = [], 0, set()
+                for kind, a, b in sorted(spans, key=lambda s: s[1]):
+                    pieces += [body[end:a], f"<{kind.upper()}>"]
+                    end = b
+                    mine.add((kind, _clear(body[a:b])))
+                texts.append("".join([*pieces, body[end:]]))
+                found.append([{"pii_type": k, "pii_value": v} for k, v in sorted(mine)])
             yield pd.DataFrame({"ocr_id": frame.ocr_id, "field_name": frame.field_name, "text": texts, "found": found})
 
     return texts_of(results).mapInPandas(run, "ocr_id string, field_name string, text string, found array<struct<pii_type:string,pii_value:string>>")

@@ -96,6 +96,23 @@ def test_windows_agree_with_one_pass():
     assert len(got[0]) == 600 and (got[0] == whole).mean() > 0.97 and len(got[1]) == 4
 
 
+def test_only_places_in_doubt_are_decoded_and_labels_are_those_of_the_whole(monkeypatch):
+    best, decoded = pii._best, []
+    monkeypatch.setattr(pii, "_best", lambda scores, lengths, *rest: decoded.append(int(lengths.sum())) or best(scores, lengths, *rest))
+    model = pii.Model.load()
+    texts = ["", LETTER[:70], "Khoa ngữ văn họp.", LETTER, LETTER[200:430] + LETTER[:20], "Ban thanh tra phân loại lý lịch bản gốc trước khi nộp hồ sơ. " * 8]
+    got = pii.label_stretches(model, texts)
+    assert 0 < sum(decoded) < 0.7 * sum(map(len, texts))
+    whole = lambda t: pii.viterbi(model.scores(pii.encode(t)[None]), model.w["trans"])[0].tolist() if t else []
+    assert [x.tolist() for x in got] == [whole(t[: pii.WIDTH]) for t in texts]
+    rng = np.random.default_rng(4)
+    for scale in (0.5, 2, 5):  # any weights, also such as leave most places in doubt, or open and close values at a text's ends
+        model = pii.Model({k: rng.normal(size=v.shape) * (scale if k == "trans" else 1) for k, v in model.w.items()})
+        monkeypatch.setattr(pii, "HELD", 150)
+        parts = [LETTER[a : a + n] for a, n in zip(rng.integers(0, 300, 40), rng.integers(0, 90, 40))]
+        assert [x.tolist() for x in pii.label_stretches(model, parts)] == [whole(t) for t in parts]
+
+
 def test_training_lowers_loss():
     rng = np.random.default_rng(1)
     texts = [LETTER.replace("Đức Vân", n).replace("20013602", str(20000000 + k)) for k, n in enumerate(["Văn An", "Thị Bích", "Kim Sơn", "Hữu Hạnh"] * 6)]
