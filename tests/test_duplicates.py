@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from scrivan.operators import duplicates
@@ -43,3 +44,31 @@ def test_all_pairs(spark, monkeypatch, block, dense):
     # no common beginning
     assert ("moved", "start") in got and got["same1", "same2"] == (1.0, "CRITICAL") and ("cut", "same1") in got
     assert duplicates.scores(spark.createDataFrame([], "id string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("own, shared", [(1024, 2048), (10, 32), (0, 1)])
+@pytest.mark.parametrize("floats", [False, True])
+def test_bounds_lose_no_pair_and_spare_most(monkeypatch, own, shared, floats):
+    for name, value in (("ROWS", 5), ("COLUMNS", 7), ("DENSE", own), ("WIDTH", shared), ("STEP", 50)):
+        monkeypatch.setattr(duplicates, name, value)
+    if floats:
+        monkeypatch.setattr(duplicates, "_multiplier", lambda: lambda x, y: x.astype(np.float32) @ y.astype(np.float32))
+    texts = [t for t in dict.fromkeys(t for _, t in fixture()) if t and re.search(r"\w", t)]
+    sets = [duplicates.sets_of(t, {}) for t in texts]
+    columns = duplicates.frequent(texts)
+
+    def block(low, high):
+        of = lambda k: np.unique(np.concatenate([x[k] for x in sets[low:high]]), return_inverse=True)
+        return duplicates.Block(np.arange(low, high), [(np.array([len(x[k]) for x in sets[low:high]]), *of(k)) for k in (0, 1)], columns)
+
+    looked = []
+    bounded = duplicates.bounded
+    monkeypatch.setattr(duplicates, "bounded", lambda *args: looked.append(bounded(*args)) or looked[-1])
+    got, blocks = {}, [block(0, 20), block(20, len(texts))]
+    for a, b in itertools.combinations_with_replacement(blocks, 2):
+        got |= {tuple(sorted((int(a.keys[i]), int(b.keys[j])))): s for i, j, s in zip(*duplicates.block_scores(a, b, 0.3))}
+    want = {(x, y): s for x, y in itertools.combinations(range(len(texts)), 2) if (s := similarity(texts[x], texts[y])) >= 0.3}
+    assert got == pytest.approx(want, abs=1.01e-4)
+    if own > 1000:
+        # with a column for each element no pair but these is looked up: both orders within a block, and each text with itself
+        assert sum(len(i) for i, *_ in looked) <= 2 * len(want) + len(texts)
