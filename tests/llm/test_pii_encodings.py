@@ -113,6 +113,24 @@ def test_only_places_in_doubt_are_decoded_and_labels_are_those_of_the_whole(monk
         assert [x.tolist() for x in pii.label_stretches(model, parts)] == [whole(t) for t in parts]
 
 
+def test_labels_hang_neither_on_the_batch_nor_on_the_operators(monkeypatch):
+    model = pii.Model.load()
+    texts = [LETTER * 4, "", LETTER[:70], (LETTER * 2)[:600], "Khoa ngữ văn họp.", LETTER]
+    got = [x.tolist() for x in pii.label_stretches(model, texts)]
+    assert [pii.label_stretches(model, [t])[0].tolist() for t in texts] == got
+    ids = np.stack([pii.encode(LETTER[k : k + 60]) for k in range(40)])
+    scores = model.scores(ids)
+    assert all((model.scores(ids[k : k + 1]) == scores[k]).all() for k in range(40))  # to the bit
+    monkeypatch.setattr(pii, "WIDTH", 128)
+    monkeypatch.setattr(pii, "STEP", 96)
+    monkeypatch.setattr(pii, "BLOCK", 100)
+    cut = pii.label_stretches(model, texts)
+    assert [len(x) for x in cut] == [len(t) for t in texts] and all((a == np.array(b)).mean() > 0.97 for a, b in zip(cut, got) if b)
+    monkeypatch.undo()
+    monkeypatch.setattr(pii, "_session", lambda *_: None)  # numpy alone
+    assert [x.tolist() for x in pii.label_stretches(model, texts)] == got and abs(model.scores(ids) - scores).max() < 1e-3
+
+
 def test_training_lowers_loss():
     rng = np.random.default_rng(1)
     texts = [LETTER.replace("Đức Vân", n).replace("20013602", str(20000000 + k)) for k, n in enumerate(["Văn An", "Thị Bích", "Kim Sơn", "Hữu Hạnh"] * 6)]
