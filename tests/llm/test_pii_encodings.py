@@ -1,6 +1,7 @@
 """Personal data and encodings: parts against direct versions, held-out accuracy, and the defined cases."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -199,6 +200,39 @@ def test_the_cipher_reads_words_without_any_page_table(spark, monkeypatch):
     assert not {300 + k for k in range(12)} & {r.doc_id for r in encodings.restored(df, pages=False, ciphered=False).collect()}
 
 
+def test_pages_are_tried_only_where_they_can_read_utf8_and_none_is_missed(monkeypatch):
+    def shown(word, page):
+        try:
+            return word.encode().decode(page)
+        except UnicodeDecodeError:
+            return word
+
+    def readings(word, deep=3):
+        for page in encodings.SHOWN:
+            raw = [ord(c) if c.isascii() else encodings._PAGES[page].get(ord(c)) for c in word]
+            try:
+                read = None if None in raw else bytes(raw).decode()
+            except UnicodeDecodeError:
+                continue
+            if read not in (None, word):
+                yield from readings(read, deep - 1) if deep > 1 and not read.isascii() else ()
+                yield read
+
+    rng = np.random.default_rng(7)
+    words = {"".join(rng.choice(list("aĐđếâ€™Ãº»‘\x81\x9d\xa0ÄЂ÷ÿ¿Ā€\ufffd😀ệ-Æ°"), rng.integers(1, 6))) for _ in range(3000)}
+    words |= {shown(shown(w, a), b) for w in WORDS for a in encodings.SHOWN for b in ("cp1252", "latin-1", "cp437")} | {""}
+    direct = {w: list(readings(w)) for w in words}
+    assert {w: list(encodings.utf8_readings(w)) for w in words} == direct and sum(map(bool, direct.values())) > 300
+    tried, back = [], encodings._back
+    monkeypatch.setattr(encodings, "_back", lambda word, page: tried.append(word) or back(word, page))
+    assert not any(list(encodings.utf8_readings(w)) for w in ("của", "hồ", "2574/BM-ĐHSL", "Đ")) and not tried
+    reader = encodings.Reader({"hồ": 5000, "năm": 5000}, {})
+    asked, word = [], reader.word
+    reader.word = lambda w, source: asked.append(w) or word(w, source)
+    assert [reader.text("hồ năm sá»‘", s)[1] for s in "sst"] == [True] * 3
+    assert Counter(asked) == {"hồ": 2, "năm": 2, "sá»‘": 3}  # words that are no case once a source
+
+
 @pytest.mark.parametrize("times", [1, 10, 100])
 def test_reading_does_not_depend_on_the_size_of_the_collection(times):
     counts = {"số": 5000, "sá": 235, "sè": 114, "hồ": 4000, "há": 102, "cố": 900, "cá": 1970, "kỳ": 2000, "kú": 84, "năm": 6000}
